@@ -36,6 +36,8 @@ _SLICE = 1 << 12
 #: Bits of the filter that tells which sets to fetch; 2 MB at most. When full, more sets travel.
 FILTER_BITS = 1 << 24
 _BATCH = 2 << 20
+#: Members of a shingle up to which they are compared without bands.
+_FEW = 64
 
 
 def prefix_length(n: np.ndarray | int, percent: int):
@@ -172,6 +174,34 @@ def _links(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataF
     return both.where(F.expr(f"100L * shared >= {percent}L * (size(tx) + size(ty) - shared)")).select("x", "y").distinct()
 
 
+def _fits(percent: int) -> str:
+    """What sets of nx and ny shingles can still share from a first common one on suffices for a link."""
+    rest = "least(nx - atx, ny - aty)"
+    return f"100L * {rest} >= {percent}L * (nx + ny - {rest})"
+
+
+def _across(tokens: DataFrame, percent: int) -> DataFrame:
+    """Pairs (x, y) of different components that share a prefix shingle and may link.
+
+    Members of a shingle's most frequent component meet only the others. For shingles with many
+    members, a member's band is the share of its set (in %) before the shingle: bands that
+    together exceed ``100 * (100 - percent) / percent`` cannot link and never meet.
+    """
+    sides = [tokens.select("token", "many", "main", *(F.col(k).alias(k + s) for k in ("rep", "n", "at", "c"))) for s in ("x", "y")]
+    left, right = sides[0].where("cx <> main").drop("main"), sides[1].drop("many", "main")
+    may = "cx <> cy"
+    few = left.where(f"many <= {_FEW}").join(right, "token").where(may).where(_fits(percent))
+    most = 100 * (100 - percent) // percent
+    band = lambda at, n: F.floor(100 * F.col(at) / F.col(n)).cast("int")
+    crowd = left.where(f"many > {_FEW}").withColumn("bx", band("atx", "nx"))
+    crowd = crowd.where(F.col("bx") <= most).withColumn("by", F.explode(F.sequence(F.lit(0), F.lit(most) - F.col("bx"))))
+    other = sides[1].where(f"many > {_FEW}").drop("many", "main").withColumn("by", band("aty", "ny"))
+    other = other.where(F.col("by") <= most).withColumn("bx", F.explode(F.sequence(F.lit(0), F.lit(most) - F.col("by"))))
+    many = crowd.join(other, ["token", "bx", "by"]).where(may).where(_fits(percent))
+    pairs = few.select("repx", "repy").unionByName(many.select("repx", "repy"))
+    return pairs.select(F.least("repx", "repy").alias("x"), F.greatest("repx", "repy").alias("y")).distinct()
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, component) of every node with a link, component being its smallest node.
 
@@ -213,22 +243,21 @@ def jaccard_components(docs: DataFrame, width: int = 3, percent: int = 90) -> Da
     prefixes = docs.mapInArrow(_prefixes(width, percent, counts), "a long, b long, prefix array<long>").groupBy("a", "b").agg(F.first("prefix").alias("prefix"))
     prefixes = stored(classes.join(prefixes, ["a", "b"]).select("rep", "n", "prefix"), "prefixes")
 
-    fits = f"100L * least(nx, ny) >= {percent}L * greatest(nx, ny)"
-    tokens = prefixes.select(F.explode("prefix").alias("token"), "rep", "n")
-    hubs = tokens.groupBy("token").agg(F.min(F.struct("rep", "n")).alias("hub"), F.max("rep").alias("other")).where("other > hub.rep")
-    hubs = hubs.select("token", F.col("hub.rep").alias("x"), F.col("hub.n").alias("nx"))
-    star = tokens.join(hubs, "token").select("x", F.col("rep").alias("y"), "nx", F.col("n").alias("ny"))
-    star = stored(star.where("x <> y").where(fits).select("x", "y").distinct(), "pairs")
+    tokens = prefixes.select(F.posexplode("prefix").alias("at", "token"), "rep", "n")
+    lightest = F.min(F.struct((F.col("at") / F.col("n")).alias("share"), "rep", "n", "at"))
+    hubs = tokens.groupBy("token").agg(lightest.alias("hub"), F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo < hi")
+    hubs = hubs.select("token", F.col("hub.rep").alias("repx"), F.col("hub.n").alias("nx"), F.col("hub.at").alias("atx"))
+    own = tokens.select("token", *(F.col(k).alias(k + "y") for k in ("rep", "n", "at")))
+    star = own.join(hubs, "token").where("repx <> repy").where(_fits(percent))
+    star = stored(star.select(F.least("repx", "repy").alias("x"), F.greatest("repx", "repy").alias("y")).distinct(), "pairs")
     links = stored(_links(star, docs, width, percent), "links")
     found = components(links)
 
     labelled = prefixes.join(found, prefixes.rep == found.node, "left").select("rep", "n", "prefix", F.coalesce("component", "rep").alias("c"))
-    tokens = stored(labelled, "labelled").select(F.explode("prefix").alias("token"), "rep", "n", "c")
-    open_tokens = tokens.groupBy("token").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("token")
-    tokens = stored(tokens.join(open_tokens, "token"), "open")
-    left, right = (tokens.select("token", *(F.col(k).alias(k + s) for k in ("rep", "n", "c"))) for s in ("x", "y"))
-    rest = left.join(right, "token").where("cx <> cy AND repx < repy").where(fits).select(F.col("repx").alias("x"), F.col("repy").alias("y")).distinct()
-    rest = stored(rest.join(star, ["x", "y"], "left_anti"), "pairs")
+    tokens = stored(labelled, "labelled").select(F.posexplode("prefix").alias("at", "token"), "rep", "n", "c")
+    open_tokens = tokens.groupBy("token").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("many"), F.mode("c", True).alias("main")).where("lo < hi")
+    tokens = stored(tokens.join(open_tokens.select("token", "many", "main"), "token"), "open")
+    rest = stored(_across(tokens, percent).join(star, ["x", "y"], "left_anti"), "pairs")
     more = stored(_links(rest, docs, width, percent), "links")
     if not more.isEmpty():
         found = components(found.select(F.col("node").alias("x"), F.col("component").alias("y")).unionByName(more))
