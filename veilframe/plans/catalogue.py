@@ -5,11 +5,180 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from veilframe.functions import checksums, spans
+from veilframe.operators import masking, resolve
+from veilframe.operators.rules import BY_SOURCE, RULES, detect
+from veilframe.session import table
+
+CONTACTS = (BY_SOURCE["email"], BY_SOURCE["phone-intl"])
+EMAIL = (BY_SOURCE["email"],)
+
+
+def _values(spark: SparkSession, sf_dir: str, rules, tab: str = "documents", key: str = "doc_id", text: str = "text") -> DataFrame:
+    return masking.spans_of(masking.find(table(spark, sf_dir, tab).select(key, text), rules, text), key)
+
+
+def emails_in_documents(spark, sf_dir):
+    return _values(spark, sf_dir, EMAIL).select("doc_id", F.col("text").alias("value"))
+
+
+def intl_phones_in_documents(spark, sf_dir):
+    return _values(spark, sf_dir, (BY_SOURCE["phone-intl"],)).select("doc_id", F.col("text").alias("value"))
+
+
+def urls_in_pages(spark, sf_dir):
+    return _values(spark, sf_dir, (BY_SOURCE["url"],), "pages", "page_id", "html").select("page_id", F.col("text").alias("value"))
+
+
+def email_spans_offsets(spark, sf_dir):
+    return _values(spark, sf_dir, EMAIL).select("doc_id", F.col("start").alias("start_at"), F.col("end").alias("end_at"), F.col("text").alias("value"))
+
+
+def placeholder_numbering(spark, sf_dir):
+    return masking.number(_values(spark, sf_dir, EMAIL)).select("kind", "number", "value")
+
+
+def placeholder_counts(spark, sf_dir):
+    found = _values(spark, sf_dir, EMAIL)
+    mapping = masking.number(found)
+    named = found.select(F.col("text").alias("value")).join(mapping, "value")
+    return named.groupBy(masking.placeholder(F.col("kind"), F.col("number")).alias("placeholder")).agg(F.count("*").alias("n"))
+
+
+def _masked(spark, sf_dir, rules):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = docs.withColumn("spans", resolve.resolve(F.col("text"), detect(F.col("text"), rules)) if len(rules) > 1 else detect(F.col("text"), rules))
+    own = masking.spans_of(found)
+    mapping = masking.stored(masking.number(own), "mapping")
+    return docs, mapping, masking.apply(docs, own, mapping)
+
+
+def mask_contacts(spark, sf_dir):
+    return _masked(spark, sf_dir, CONTACTS)[2]
+
+
+def mask_emails(spark, sf_dir):
+    return _masked(spark, sf_dir, EMAIL)[2]
+
+
+def restore_roundtrip(spark, sf_dir):
+    _, mapping, masked = _masked(spark, sf_dir, CONTACTS)
+    return masking.restore(masked, mapping).select("doc_id", F.col("restored").alias("text"))
+
+
+def leaks_after_masking(spark, sf_dir):
+    _, _, masked = _masked(spark, sf_dir, CONTACTS)
+    return masking.leaks(masked).select("doc_id", F.col("start").alias("start_at"), F.col("text").alias("value"), "reason")
+
+
+def vat_checksum(spark, sf_dir):
+    value = F.lpad(F.col("o_orderkey").cast("string"), 11, "0")
+    return table(spark, sf_dir, "orders").select("o_orderkey", value.alias("value"), checksums.is_vat(value).alias("valid"))
+
+
+def iban_checksum(spark, sf_dir):
+    bban = F.lpad(F.col("c_custkey").cast("string"), 18, "0")
+    digits = checksums.iban_check_digits(F.lit("DE"), bban)
+    return table(spark, sf_dir, "customer").select("c_custkey", F.concat(F.lit("DE"), digits, bban).alias("iban"), checksums.is_iban(F.concat(F.lit("DE00"), bban)).alias("valid_zero"))
+
+
+def cf_checksum(spark, sf_dir):
+    base = F.concat(F.lit("RSSMRA"), F.lpad((F.col("c_custkey") % 100).cast("string"), 2, "0"), F.lit("A"), F.lpad((F.col("c_custkey") % 31).cast("string"), 2, "0"), F.lit("H"), F.lpad((F.col("c_custkey") % 1000).cast("string"), 3, "0"))
+    return table(spark, sf_dir, "customer").select("c_custkey", F.concat(base, checksums.cf_check_letter(base)).alias("code"))
+
+
+def labeled_ids(spark, sf_dir):
+    text = F.concat(F.lit("Fattura, Partita IVA: "), F.lpad(F.col("o_orderkey").cast("string"), 11, "0"), F.lit("; VAT No. AB"), F.lpad(F.col("o_custkey").cast("string"), 8, "0"))
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", text.alias("text"))
+    rules = tuple(BY_SOURCE[k] for k in ("piva", "piva-labeled", "vat-labeled"))
+    return masking.spans_of(masking.find(rows, rules), "o_orderkey").select("o_orderkey", "source", F.col("start").alias("start_at"), F.col("text").alias("value"))
+
+
+def fold_text(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(spans.fold(F.col("text"))).alias("folded"))
+
+
+def column_header_kinds(spark, sf_dir):
+    titles = [("Nome",), ("COGNOME ",), ("E-mail",), ("P. IVA",), ("Ragione sociale",), ("Importo",), ("Phone number",), ("Indirizzo",)]
+    return spark.createDataFrame(titles, "title string").select("title", masking.header_kind(F.col("title")).alias("kind"))
+
+
+def review_groups(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return masking.review_groups(masking.find(docs, EMAIL)).select("kind", "text", "count")
+
+
+def all_rules_in_documents(spark, sf_dir):
+    return _values(spark, sf_dir, RULES).groupBy("kind", "source").agg(F.count("*").alias("n"))
+
+
+OWN = (
+    emails_in_documents, intl_phones_in_documents, urls_in_pages, email_spans_offsets, placeholder_numbering, placeholder_counts, mask_contacts, mask_emails, restore_roundtrip,
+    leaks_after_masking, vat_checksum, iban_checksum, cf_checksum, labeled_ids, fold_text, column_header_kinds, review_groups, all_rules_in_documents,
+)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {f.__name__: f for f in OWN}
+
+
+_MAIL = r"[A-Za-z0-9._%+\-]+@[A-Za-z0-9\-]+(?:\.[A-Za-z0-9\-]+)*\.[A-Za-z]{2,}"
+_SPANS = rf"""
+    gaps AS (SELECT doc_id, text, regexp_extract_all(text, '{_MAIL}') AS m, string_split_regex(text, '{_MAIL}') AS g FROM documents WHERE contains(text, '@')),
+    spans AS (
+        SELECT doc_id, i, m[i] AS value,
+               CAST(list_sum(list_transform(g[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0) AS INTEGER) AS start_at
+        FROM (SELECT doc_id, m, g, unnest(range(1, len(m) + 1)) AS i FROM gaps)
+    ),
+    mapping AS (SELECT value, row_number() OVER (ORDER BY doc_id, start_at) AS number FROM (SELECT value, min((doc_id, start_at)) AS f, f[1] AS doc_id, f[2] AS start_at FROM spans GROUP BY value))
+"""
+
+
+def _mod97(digits: str) -> str:
+    """Remainder of a string of digits, in blocks that fit a big integer."""
+    return f"(CAST({digits} AS HUGEINT) % 97)"
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    odd = [1, 0, 5, 7, 9, 13, 15, 17, 19, 21, 1, 0, 5, 7, 9, 13, 15, 17, 19, 21, 2, 4, 18, 20, 11, 3, 6, 8, 12, 14, 16, 10, 22, 25, 24, 23]
+    place = "position(substr(base, CAST(i AS BIGINT), 1) IN '0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ')"
+    return {
+        "emails_in_documents": f"SELECT doc_id, unnest(regexp_extract_all(text, '{_MAIL}')) AS value FROM documents",
+        "intl_phones_in_documents": r"""
+            SELECT doc_id, value FROM (SELECT doc_id, unnest(regexp_extract_all(text, '(?:^|[^\p{L}\p{N}_.,/+\-])(\+\d{1,3}(?:[ .\-]?\(?\d{1,4}\)?){2,5})', 1)) AS value FROM documents)
+            WHERE NOT regexp_matches(value, '^\+39[ .\-]?\d') AND length(regexp_replace(value, '\D', '', 'g')) BETWEEN 9 AND 15""",
+        "urls_in_pages": r"""
+            SELECT page_id, rtrim(value, '.,;:!?"''') AS value FROM (SELECT page_id, unnest(regexp_extract_all(html, '(?:^|[^\p{L}\p{N}_@.])((?i:https?://|www\.)[^\s<>()\[\]]+)', 1)) AS value FROM pages)""",
+        "email_spans_offsets": f"WITH {_SPANS} SELECT doc_id, start_at, CAST(start_at + length(value) AS INTEGER) AS end_at, value FROM spans",
+        "placeholder_numbering": f"WITH {_SPANS} SELECT 'EMAIL' AS kind, number, value FROM mapping",
+        "placeholder_counts": f"WITH {_SPANS} SELECT '[EMAIL_' || number || ']' AS placeholder, count(*) AS n FROM spans JOIN mapping USING (value) GROUP BY number",
+        "mask_emails": f"""WITH {_SPANS},
+            parts AS (SELECT s.doc_id, string_agg(g.g[s.i] || '[EMAIL_' || number || ']', '' ORDER BY s.i) || any_value(g.g[len(g.g)]) AS masked
+                      FROM spans s JOIN mapping USING (value) JOIN gaps g ON g.doc_id = s.doc_id GROUP BY s.doc_id)
+            SELECT d.doc_id, coalesce(masked, text) AS masked FROM documents d LEFT JOIN parts p ON p.doc_id = d.doc_id""",
+        "restore_roundtrip": "SELECT doc_id, text FROM documents",
+        "vat_checksum": """
+            WITH own AS (SELECT o_orderkey, lpad(CAST(o_orderkey AS VARCHAR), 11, '0') AS value FROM orders)
+            SELECT o_orderkey, value, list_sum(list_transform(range(1, 12), lambda i: CASE WHEN i % 2 = 1 THEN CAST(substr(value, i, 1) AS INTEGER)
+                ELSE CAST(substr(value, i, 1) AS INTEGER) * 2 - CASE WHEN substr(value, i, 1) > '4' THEN 9 ELSE 0 END END)) % 10 = 0 AS valid FROM own""",
+        "iban_checksum": f"""
+            WITH own AS (SELECT c_custkey, lpad(CAST(c_custkey AS VARCHAR), 18, '0') AS b FROM customer)
+            SELECT c_custkey, 'DE' || lpad(CAST(98 - {_mod97("b || '131400'")} AS VARCHAR), 2, '0') || b AS iban, {_mod97("b || '131400'")} = 1 AS valid_zero FROM own""",
+        "cf_checksum": f"""
+            WITH own AS (SELECT c_custkey, 'RSSMRA' || lpad(CAST(c_custkey % 100 AS VARCHAR), 2, '0') || 'A' || lpad(CAST(c_custkey % 31 AS VARCHAR), 2, '0') || 'H' || lpad(CAST(c_custkey % 1000 AS VARCHAR), 3, '0') AS base FROM customer)
+            SELECT c_custkey, base || chr(CAST(65 + list_sum(list_transform(range(1, 16), lambda i: CASE WHEN i % 2 = 1 THEN ({odd})[{place}]
+                ELSE CASE WHEN {place} > 10 THEN {place} - 11 ELSE {place} - 1 END END)) % 26 AS INTEGER)) AS code FROM own""",
+        "labeled_ids": """
+            WITH own AS (SELECT o_orderkey, lpad(CAST(o_orderkey AS VARCHAR), 11, '0') AS v, 'AB' || lpad(CAST(o_custkey AS VARCHAR), 8, '0') AS w,
+                list_sum(list_transform(range(1, 12), lambda i: CASE WHEN i % 2 = 1 THEN CAST(substr(lpad(CAST(o_orderkey AS VARCHAR), 11, '0'), i, 1) AS INTEGER)
+                ELSE CAST(substr(lpad(CAST(o_orderkey AS VARCHAR), 11, '0'), i, 1) AS INTEGER) * 2 - CASE WHEN substr(lpad(CAST(o_orderkey AS VARCHAR), 11, '0'), i, 1) > '4' THEN 9 ELSE 0 END END)) % 10 = 0 AS ok FROM orders)
+            SELECT o_orderkey, CASE WHEN ok THEN 'rules:piva' ELSE 'rules:piva-labeled' END AS source, CAST(22 AS INTEGER) AS start_at, v AS value FROM own
+            UNION ALL SELECT o_orderkey, 'rules:vat-labeled', CAST(43 AS INTEGER), w FROM own""",
+        "fold_text": "SELECT doc_id, md5(strip_accents(lower(text))) AS folded FROM documents",
+        "column_header_kinds": """
+            SELECT * FROM (VALUES ('Nome', 'PERSONA'), ('COGNOME ', 'PERSONA'), ('E-mail', 'EMAIL'), ('P. IVA', 'PIVA'), ('Ragione sociale', 'AZIENDA'), ('Importo', NULL),
+                ('Phone number', 'TELEFONO'), ('Indirizzo', 'INDIRIZZO')) t(title, kind)""",
+        "review_groups": f"WITH {_SPANS} SELECT 'EMAIL' AS kind, value AS text, count(*) AS count FROM spans GROUP BY value",
+    }
