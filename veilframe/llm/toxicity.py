@@ -15,7 +15,6 @@ features and get the classifier's base score.
 from __future__ import annotations
 
 import math
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -90,46 +89,50 @@ def label_model(votes: np.ndarray, given: np.ndarray, rounds: int = 8) -> tuple[
     return q, rates, weight
 
 
-def _associated(counts: list[Counter], totals: list[int], least: int, ratio: float) -> list[str]:
-    own = []
-    for f, a in counts[1].items():
-        if a >= least:
-            lift = (a + 0.5) / (totals[1] + 1) / ((counts[0][f] + 0.5) / (totals[0] + 1))
-            if lift >= ratio:
-                own.append((-a * math.log(lift), f))
-    return [f for _, f in sorted(own)]
+def _associated(bags: list[np.ndarray], classes: np.ndarray, size: int, least: int, ratio: float) -> list[int]:
+    """Features of at least ``least`` toxic texts and ``ratio`` times as common there, strongest first."""
+    counts = np.zeros((2, size))
+    for y in (0, 1):
+        own = [b for b, c in zip(bags, classes) if c == y]
+        if own:
+            counts[y] = np.bincount(np.concatenate(own), minlength=size)
+    totals = [max(0, int((classes == y).sum())) for y in (0, 1)]
+    lift = (counts[1] + 0.5) / (totals[1] + 1) / ((counts[0] + 0.5) / (totals[0] + 1))
+    found = np.flatnonzero((counts[1] >= least) & (lift >= ratio))
+    return found[np.argsort(-counts[1][found] * np.log(lift[found]), kind="stable")].tolist()
 
 
 def train(labelled: DataFrame, per_class: int = SAMPLE, voters: int = 300) -> Model:
     """Learns from ``labelled(doc_id, text, toxic)``; rows without text or label are left out."""
     ship(labelled.sparkSession)
     rows = labelled.where("text IS NOT NULL AND toxic IS NOT NULL").select("doc_id", "text", F.col("toxic").cast("int").alias("toxic"))
-    bags = bounded_sample(rows, "toxic", per_class).select("toxic", "text").mapInArrow(_bags, "toxic int, words array<string>").orderBy("toxic", "words").toPandas()
-    given = bags["toxic"].to_numpy()
+    sample = bounded_sample(rows, "toxic", per_class).select("toxic", "text").mapInArrow(_bags, "toxic int, words array<string>").orderBy("toxic", "words")
+    ids: dict[str, int] = {f: i for i, f in enumerate(LEXICON)}
+    given_list, bags = [], []
+    for row in sample.toLocalIterator():  # a partition at a time; features are kept as numbers
+        given_list.append(row["toxic"])
+        bags.append(np.array(sorted({ids.setdefault(f, len(ids)) for w in row["words"] for f in _features(w)}), np.int32))
+    given = np.array(given_list)
     if not len(given) or given.min() == given.max():
         return Model(np.zeros(0, np.uint64), np.zeros(0), 4.0 if len(given) and given[0] else -4.0)
-    texts = [set().union(*map(_features, words)) for words in bags["words"]]
-    counts = [Counter(), Counter()]
-    for bag, y in zip(texts, given):
-        counts[y].update(bag)
-    totals = [int((given == y).sum()) for y in (0, 1)]
-    chosen = list(dict.fromkeys([*LEXICON, *_associated(counts, totals, 3, 8.0)]))[:voters]
-    votes = np.array([[f in bag for f in chosen] for bag in texts])
+    stated = list(range(len(LEXICON)))
+    chosen = list(dict.fromkeys([*stated, *_associated(bags, given, len(ids), 3, 8.0)]))[:voters]
+    votes = np.array([np.isin(chosen, bag) for bag in bags])
     posterior, _, _ = label_model(votes, given)
 
-    soft = [Counter(), Counter()]
     hard = posterior > 0.5
-    for bag, y in zip(texts, hard):
-        soft[int(y)].update(bag)
     sizes = [int((~hard).sum()), int(hard.sum())]
-    used = list(dict.fromkeys([*(f for f in LEXICON), *_associated(soft, sizes, 3, 4.0)[:4000]]))
-    at = {f: i for i, f in enumerate(used)}
-    pairs = [(r, at[f]) for r, bag in enumerate(texts) for f in bag if f in at]
-    row, col = (np.array(x, np.int64) for x in zip(*pairs)) if pairs else (np.zeros(0, np.int64),) * 2
+    kept = list(dict.fromkeys([*stated, *_associated(bags, hard.astype(int), len(ids), 3, 4.0)[:4000]]))
+    place = np.full(len(ids), -1)
+    place[kept] = np.arange(len(kept))
+    names = list(ids)
+    used = [names[i] for i in kept]
+    cols = [place[bag][place[bag] >= 0] for bag in bags]
+    row, col = np.repeat(np.arange(len(bags)), list(map(len, cols))), np.concatenate(cols)
     balance = np.where(hard, 0.5 / max(1, sizes[1]), 0.5 / max(1, sizes[0]))
     w, b, gw, gb = np.zeros(len(used)), -1.0, np.full(len(used), 1e-8), 1e-8
     for _ in range(300):
-        z = b + np.bincount(row, w[col], len(texts))
+        z = b + np.bincount(row, w[col], len(bags))
         slope = balance * (1 / (1 + np.exp(-np.clip(z, -30, 30))) - posterior)
         dw, db = np.bincount(col, slope[row], len(used)) + 2e-6 * w, slope.sum()
         gw, gb = gw + dw * dw, gb + db * db
