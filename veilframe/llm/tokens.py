@@ -32,7 +32,7 @@ class Coder:
     white space is dropped and words are independent.  ``limit`` bounds the cached words.
     """
 
-    def __init__(self, path: str, leading_blank: bool, limit: int = 400_000) -> None:
+    def __init__(self, path: str, leading_blank: bool, limit: int = 800_000) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
