@@ -61,3 +61,13 @@ def fold(text: Column) -> Column:
     accented = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ"
     plain = "aaaaaaceeeeiiiinooooouuuuyy"
     return F.translate(F.lower(text), accented, plain)
+
+
+def without(spans: Column, others: Column) -> Column:
+    """``spans`` but for those whose place one of ``others`` has.
+
+    No lambda within a lambda: Spark does not move a Python function out of a projection when
+    its argument holds one.
+    """
+    places = F.transform(others, lambda t: F.concat_ws(":", t["start"], t["end"]))
+    return F.filter(spans, lambda s: ~F.array_contains(places, F.concat_ws(":", s["start"], s["end"])))

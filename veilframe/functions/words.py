@@ -1,0 +1,43 @@
+"""Word lists that decide what counts as a name, and the default first names."""
+
+from __future__ import annotations
+
+# Function words, titles and headings, by what they rule out.
+PARTICLES = frozenset("de di da del della dei degli dello lo la van von".split())
+ARTICLES = frozenset("il lo la le gli i un una uno".split())
+ARTICULATED = frozenset("del della dei degli delle dello dal dalla nel nella sul sulla al alla allo ai agli".split())
+PREPOSITIONS = frozenset("a da di in con per tra fra su".split())
+CONJUNCTIONS = frozenset("e ed o & and".split())
+NOT_SURNAMES = ARTICLES | frozenset("srl spa snc sas s.r.l. s.p.a. con per tra fra che del della dei delle ha è".split())
+AFTER_NAMES = frozenset("via viale piazza corso largo strada tel email cod cf piva spett nato nata residente domiciliato domiciliata".split())
+NOT_LEADING = frozenset(
+    """ciao caro cara cari care gentile gentili gentilissimo gentilissima egregio egregia gent buongiorno buonasera salve grazie
+    saluti cordiali distinti dear hi hello thanks spett firmato signed oggi ieri domani anche quindi poi allora ma però se quando
+    dove come mentre dopo prima ecco inoltre infatti comunque sono ho ha hanno per con tra fra and with from to for by san santa
+    santo sant villa porta gennaio febbraio marzo aprile maggio giugno luglio agosto settembre ottobre novembre dicembre lunedì
+    martedì mercoledì giovedì venerdì sabato domenica january february march april june july august september october november
+    december monday tuesday wednesday thursday friday saturday sunday presenti assenti partecipanti relatore relatrice referente
+    responsabile direttore direttrice presidente consulente avvocato dottore dottoressa ingegnere geometra architetto cliente
+    fornitore titolare socio socia amministratore amministratrice collega contatto nota oggetto attenzione progetto project hotel
+    teatro cinema ristorante cantina ospedale clinica chiesa basilica scuola liceo istituto università banca fondazione
+    associazione premio festival operazione missione piano programma prodotto linea modello collezione team ufficio reparto
+    settore studio gruppo evento corso sala aula palazzo torre ponte parco giardino stazione aeroporto station street""".split()
+)
+BEFORE_COMPANIES = ARTICLES | ARTICULATED | PREPOSITIONS | CONJUNCTIONS | frozenset("de presso spett.le spett. egr. egregio gentile ditta società azienda cliente fornitore sede contratto fattura ordine".split())
+NOT_HANDLES = frozenset(
+    """info ufficio amministrazione acquisti segreteria contatti contact mail email pec admin support supporto sales vendite office
+    noreply posta hello ciao commerciale fatture fatturazione ordini assistenza direzione personale linkedin github gitlab twitter
+    facebook instagram youtube profile profilo company www http https gmail hotmail outlook yahoo libero example""".split()
+)
+PROFILE_STEPS = frozenset("in pub company u user users profile people channel c".split())
+
+# A short default; longer lists are passed as a parameter.
+FIRST_NAMES = frozenset(
+    """marco luca andrea giulia anna maria mario paolo paola francesca francesco giovanni giuseppe antonio laura sara elena chiara
+    alessandro alessandra roberto roberta stefano stefania matteo davide simone federico federica martina valentina silvia
+    claudia claudio giorgio giorgia lorenzo riccardo nicola pietro enrico fabio daniela daniele massimo michele vincenzo salvatore
+    luigi carlo carla barbara monica cristina sofia alice beatrice emma greta ilaria irene lucia margherita rosa teresa john james
+    robert michael william david richard thomas charles sarah emily jessica elizabeth jennifer karen hans klaus jürgen wolfgang
+    heinrich ursula ingrid sabine pierre jean jacques michel françois isabelle sophie camille josé juan carlos miguel pedro
+    carmen pilar dolores""".split()
+)
