@@ -22,6 +22,7 @@ from veilframe.operators.rules import HEURISTIC, LOW, UP
 _PUNCTUATION = ".,;:'’"
 _WORD = rf"[{UP}][{UP}{LOW}'’\-]+"
 _PARTICLE = "|".join(sorted(W.PARTICLES, key=lambda w: (-len(w), w)))
+# Fixed value: the shape of a run of capitalised words, with particles between them.
 RUN = re.compile(rf"(?<!\w){_WORD}(?:[ \t]+(?:(?:{_PARTICLE})[ \t]+)?{_WORD})+")
 _LONGEST = 4  # words of one name
 _NO_LEAD = W.NOT_LEADING | W.NOT_SURNAMES | W.AFTER_NAMES | W.PARTICLES | W.BEFORE_COMPANIES

@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veilframe.functions import checksums, spans
-from veilframe.operators import masking, resolve
+from veilframe import api
+from veilframe.operators import lookup, masking, names, resolve
 from veilframe.operators.rules import BY_SOURCE, RULES, detect
 from veilframe.session import table
 
@@ -114,9 +115,50 @@ def all_rules_in_documents(spark, sf_dir):
     return _values(spark, sf_dir, RULES).groupBy("kind", "source").agg(F.count("*").alias("n"))
 
 
+def _customers(spark, sf_dir):
+    text = F.concat(F.lit("Cliente "), "c_name", F.lit(", settore "), F.lower("c_mktsegment"), F.lit("."))
+    return table(spark, sf_dir, "customer").select("c_custkey", text.alias("text"), "c_name", "c_mktsegment")
+
+
+def _places(found: DataFrame, key: str) -> DataFrame:
+    return found.select(key, F.explode("found").alias("s")).select(key, F.col("s.kind").alias("kind"), F.col("s.source").alias("source"), F.col("s.start").alias("start_at"), F.col("s.text").alias("value"))
+
+
+def glossary_spans(spark, sf_dir):
+    rows = _customers(spark, sf_dir)
+    glossary = rows.select(F.col("c_mktsegment").alias("term"), F.lit("ALTRO").alias("kind"), F.expr("cast(array() as array<string>)").alias("aliases")).distinct()
+    return _places(lookup.occurrences(rows, lookup.glossary_needles(glossary), "c_custkey"), "c_custkey")
+
+
+def known_value_spans(spark, sf_dir):
+    rows = _customers(spark, sf_dir)
+    mapping = rows.select(F.lit("AZIENDA").alias("kind"), F.col("c_custkey").alias("number"), F.upper("c_name").alias("value"), F.lit(False).alias("case_sensitive"))
+    nothing = masking.spans_of(rows.select("c_custkey", F.expr(spans.NONE).alias("spans")), "c_custkey")
+    return _places(lookup.occurrences(rows, lookup.known_needles(nothing, mapping, "c_custkey"), "c_custkey"), "c_custkey")
+
+
+def column_cell_spans(spark, sf_dir):
+    rows = table(spark, sf_dir, "customer").select("c_custkey", lookup.column_spans(F.concat(F.lit("  "), "c_name", F.lit(" ")), F.lit("AZIENDA")).alias("found"))
+    return _places(rows, "c_custkey")
+
+
+def first_name_spans(spark, sf_dir):
+    letter = F.char(97 + F.col("s_suppkey") % 26)
+    text = F.when(F.col("s_suppkey") % 2 == 0, F.concat(F.lit("scrive Mario Verdin"), letter, F.lit(" oggi"))).otherwise(F.concat(F.lit("scrive Verdin"), letter, F.lit(" Mario, oggi")))
+    rows = table(spark, sf_dir, "supplier").select("s_suppkey", names.name_spans(text).alias("found"))
+    return _places(rows, "s_suppkey")
+
+
+def full_roundtrip(spark, sf_dir):
+    """Everything that rules, names and propagation find, masked and put back."""
+    done = api.anonymize(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return api.restore(done.texts, done.mapping).select("doc_id", F.col("restored").alias("text"))
+
+
 OWN = (
     emails_in_documents, intl_phones_in_documents, urls_in_pages, email_spans_offsets, placeholder_numbering, placeholder_counts, mask_contacts, mask_emails, restore_roundtrip,
     leaks_after_masking, vat_checksum, iban_checksum, cf_checksum, labeled_ids, fold_text, column_header_kinds, review_groups, all_rules_in_documents,
+    glossary_spans, known_value_spans, column_cell_spans, first_name_spans, full_roundtrip,
 )
 
 
@@ -180,5 +222,12 @@ def oracle_sql() -> dict[str, str]:
         "column_header_kinds": """
             SELECT * FROM (VALUES ('Nome', 'PERSONA'), ('COGNOME ', 'PERSONA'), ('E-mail', 'EMAIL'), ('P. IVA', 'PIVA'), ('Ragione sociale', 'AZIENDA'), ('Importo', NULL),
                 ('Phone number', 'TELEFONO'), ('Indirizzo', 'INDIRIZZO')) t(title, kind)""",
+        "glossary_spans": "SELECT c_custkey, 'ALTRO' AS kind, 'glossary' AS source, CAST(length(c_name) + 18 AS INTEGER) AS start_at, lower(c_mktsegment) AS value FROM customer",
+        "known_value_spans": "SELECT c_custkey, 'AZIENDA' AS kind, 'known-value' AS source, CAST(8 AS INTEGER) AS start_at, c_name AS value FROM customer",
+        "column_cell_spans": "SELECT c_custkey, 'AZIENDA' AS kind, 'column-header' AS source, CAST(2 AS INTEGER) AS start_at, c_name AS value FROM customer",
+        "first_name_spans": """
+            SELECT s_suppkey, 'PERSONA' AS kind, CASE WHEN s_suppkey % 2 = 0 THEN 'rules:first-name' ELSE 'rules:surname-first' END AS source, CAST(7 AS INTEGER) AS start_at,
+                   CASE WHEN s_suppkey % 2 = 0 THEN 'Mario Verdin' || chr(CAST(97 + s_suppkey % 26 AS INTEGER)) ELSE 'Verdin' || chr(CAST(97 + s_suppkey % 26 AS INTEGER)) || ' Mario' END AS value FROM supplier""",
+        "full_roundtrip": "SELECT doc_id, text FROM documents",
         "review_groups": f"WITH {_SPANS} SELECT 'EMAIL' AS kind, value AS text, count(*) AS count FROM spans GROUP BY value",
     }
