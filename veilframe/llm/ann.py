@@ -5,8 +5,9 @@ is a set of random projections, each a sorted array of single values.  A query o
 around its own value in every array; a vector collides where it lies in the window.  Windows
 grow by virtual rehashing (radius 1, c, c^2, ...) and a vector that collides in at least
 ``threshold`` arrays is verified by its exact cosine in double precision.  A query ends when
-its k-th best lies within the next radius or enough vectors were verified; the windows end
-up holding everything, so every query finds all the neighbours there are.
+its k-th best lies within the next radius.  Where ``SHARE`` of a block is verified before that,
+counting on costs more than it saves: the rest of the block is verified at once, so such a query
+is exact.  Only the distance test can miss a neighbour (seldom: one that lies just within it).
 
 Equal vectors are one class that keeps its ``k + 1`` smallest ids, which is all that ties
 need.  Classes are dealt into blocks of bounded size, each with its own index over all of
@@ -71,7 +72,8 @@ class Index:
                 done[fresh] = True
                 ids, scores = np.concatenate([ids, fresh]), np.concatenate([scores, cosine(fresh)])
             if len(ids) >= most:
-                break
+                rest = np.flatnonzero(~done)
+                return np.concatenate([ids, rest]), np.concatenate([scores, cosine(rest)])
             if len(ids) >= k and math.sqrt(max(0.0, 2 - 2 * np.partition(scores, len(scores) - k)[-k])) <= radius * SURE:
                 break
         return ids, scores
