@@ -1,6 +1,7 @@
 import numpy as np
+import pytest
 
-from veilframe.llm import ann
+from veilframe.llm import ann, decontam
 
 
 def test_every_neighbour_beyond_the_share():
@@ -11,3 +12,14 @@ def test_every_neighbour_beyond_the_share():
         ids, scores = index.search(q, lambda some, q=q: unit[some] @ q, 6)
         assert len(set(ids.tolist())) == len(ids) and np.allclose(scores, unit[ids] @ q)
         assert set(np.argsort(-(unit @ q))[:6].tolist()) <= set(ids.tolist())
+
+
+@pytest.mark.parametrize("most", (0, decontam.BROADCAST_SEEDS))
+def test_null_ids_leak_on_both_joins(spark, monkeypatch, most):
+    monkeypatch.setattr(decontam, "BROADCAST_SEEDS", most)
+    item = " ".join(f"w{k}" for k in range(30))
+    rows = spark.createDataFrame([(None, item), (None, "another text"), (1, "a " + item), (1, item), (2, None)], "doc_id long, text string")
+    bench = spark.createDataFrame([(7, item), (8, "another text")], "item_id long, text string")
+    got = sorted((r.doc_id or 0, r.item_id, r.matched) for r in decontam.leaks(rows, bench).collect())
+    assert got == [(0, 7, 30), (0, 8, 2), (1, 7, 30), (1, 7, 30)]
+    assert [r.doc_id for r in decontam.clean(rows, bench).collect()] == [2]

@@ -56,7 +56,8 @@ def _hits(rows: DataFrame, items: DataFrame, masks: tuple[str, ...]) -> DataFram
         core = own.where(F.col("at") + min(map(len, MASKS)) <= F.size("item")).select(_core("item", "at").alias("core")).distinct()
     if seeds.count() > BROADCAST_SEEDS:
         found = _seeds(windows, "words", masks, "pos").drop("words").join(seeds, "seed")
-        return found.join(rows.dropDuplicates(["doc_id", "text_hash"]), ["doc_id", "text_hash"])
+        texts = rows.dropDuplicates(["doc_id", "text_hash"]).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), "words")
+        return found.join(texts, (F.col("text_hash") == F.col("_hash")) & F.col("doc_id").eqNullSafe(F.col("_id"))).drop("_id", "_hash")
     if masks == MASKS:
         windows = windows.withColumn("core", _core("words", "pos")).join(F.broadcast(core), "core", "left_semi")
     return _seeds(windows, "words", masks, "pos").join(F.broadcast(seeds), "seed")
