@@ -23,3 +23,13 @@ def test_null_ids_leak_on_both_joins(spark, monkeypatch, most):
     got = sorted((r.doc_id or 0, r.item_id, r.matched) for r in decontam.leaks(rows, bench).collect())
     assert got == [(0, 7, 30), (0, 8, 2), (1, 7, 30), (1, 7, 30)]
     assert [r.doc_id for r in decontam.clean(rows, bench).collect()] == [2]
+
+
+def test_passages_shorter_than_half_an_item(spark):
+    item = [f"w{k}" for k in range(500)]
+    noise = [f"n{k}" for k in range(20)]
+    swap = lambda ws, at: ["zz" if k in at else w for k, w in enumerate(ws)]
+    texts = [item[100:300], noise + item[40:53] + noise, noise + swap(item[60:75], {5, 9}) + noise, noise + item[7:19] + noise, noise + swap(item[60:76], {4, 8, 11}) + noise, item[:12] + noise + item[30:42]]
+    rows = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(texts)], "doc_id long, text string")
+    got = {r.doc_id: r.matched for r in decontam.leaks(rows, spark.createDataFrame([(0, " ".join(item))], "item_id long, text string")).collect()}
+    assert got == {0: 200, 1: 13, 2: 13}

@@ -5,7 +5,9 @@ in a window and ignores the others; windows of documents and benchmark items who
 words hash alike are a hit, so a hit survives substitutions at the ignored places, and each
 mask ignores others.  Around every hit the item is laid over the document and words are
 compared place by place.  An item leaks into a document if at least ``percent`` % of its
-words are found in place, over all its hits together (insertions only shift the later part).
+words are found in place, over all its hits together (insertions only shift the later part),
+or, whatever its length, if a passage has ``STRETCH`` words in place with at most ``SWAPPED``
+others among them; the masks hit every such passage.
 Items shorter than the longest mask must occur whole to be hit.
 
 Items without words and documents without words never match.  Rows with equal ``doc_id``
@@ -22,6 +24,7 @@ from pyspark.sql import functions as F
 MASKS = ("110110011", "1011100101", "10011010011")
 CORE = (0, 3, 4)
 BROADCAST_SEEDS = 1_000_000
+STRETCH, SWAPPED = 13, 2
 
 
 def words(text: Column) -> Column:
@@ -77,10 +80,14 @@ def leaks(docs: DataFrame, benchmark: DataFrame, percent: int = 50) -> DataFrame
     place = F.filter(F.sequence(F.lit(0), F.size("item") - 1), lambda j: F.get("words", F.col("diagonal") + j) == F.get("item", j))
     inside = F.when(F.col("diagonal") < 0, F.filter(place, lambda j: j >= -F.col("diagonal"))).otherwise(place)
     found = hits.select("doc_id", "text_hash", "item_id", F.size("item").alias("item_words"), "diagonal", inside.alias("places"))
-    found = found.groupBy("doc_id", "text_hash", "item_id", "item_words").agg(
-        F.size(F.array_distinct(F.flatten(F.collect_set("places")))).alias("matched"), F.greatest(F.min("diagonal"), F.lit(0)).alias("first_word")
+    ends = F.when(F.size("places") >= STRETCH, F.sequence(F.lit(STRETCH - 1), F.size("places") - 1))
+    passage = F.coalesce(F.exists(ends, lambda k: F.get("places", k) - F.get("places", k - STRETCH + 1) < STRETCH + SWAPPED), F.lit(False))
+    found = found.withColumn("passage", passage).groupBy("doc_id", "text_hash", "item_id", "item_words").agg(
+        F.size(F.array_distinct(F.flatten(F.collect_set("places")))).alias("matched"),
+        F.greatest(F.min("diagonal"), F.lit(0)).alias("first_word"),
+        F.max("passage").alias("passage"),
     )
-    found = found.where(F.col("matched") * 100 >= F.col("item_words") * percent)
+    found = found.where((F.col("matched") * 100 >= F.col("item_words") * percent) | F.col("passage"))
     return found.select("doc_id", "text_hash", "item_id", "item_words", "matched", (F.col("matched") / F.col("item_words")).alias("overlap"), "first_word")
 
 
