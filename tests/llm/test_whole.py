@@ -33,3 +33,14 @@ def test_passages_shorter_than_half_an_item(spark):
     rows = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(texts)], "doc_id long, text string")
     got = {r.doc_id: r.matched for r in decontam.leaks(rows, spark.createDataFrame([(0, " ".join(item))], "item_id long, text string")).collect()}
     assert got == {0: 200, 1: 13, 2: 13}
+
+
+def test_short_items_with_a_replaced_word(spark):
+    items = {n: [f"i{n}w{k}" for k in range(n)] for n in range(3, 13)}
+    noise = [f"n{k}" for k in range(15)]
+    texts = {(n, at): noise + w[:at] + ["zz"] + w[at + 1 :] + noise for n, w in items.items() for at in range(n)}
+    texts |= {(n, -1): noise + w[: n // 3] + noise for n, w in items.items()} | {(n, 99): w for n, w in items.items()}
+    rows = spark.createDataFrame([(n * 1000 + at, " ".join(t)) for (n, at), t in texts.items()], "doc_id long, text string")
+    bench = spark.createDataFrame([(n, " ".join(w)) for n, w in items.items()], "item_id long, text string")
+    got = {(r.doc_id, r.item_id, r.matched) for r in decontam.leaks(rows, bench).collect()}
+    assert got == {(n * 1000 + at, n, n - (at < 99)) for n, at in texts if at == 99 or (at >= 0 and n >= 5)}

@@ -8,7 +8,8 @@ compared place by place.  An item leaks into a document if at least ``percent``
 words are found in place, over all its hits together (insertions only shift the later part),
 or, whatever its length, if a passage has ``STRETCH`` words in place with at most ``SWAPPED``
 others among them; the masks hit every such passage.
-Items shorter than the longest mask must occur whole to be hit.
+Items shorter than the longest mask have masks of their own (``short_masks``), which hit
+wherever any one word is replaced; items of fewer than 5 words must occur whole.
 
 Items without words and documents without words never match.  Rows with equal ``doc_id``
 and text count once.  Other columns are ignored.  Item seeds are broadcast while they are
@@ -27,6 +28,17 @@ BROADCAST_SEEDS = 1_000_000
 STRETCH, SWAPPED = 13, 2
 
 
+def short_masks(n: int) -> tuple[str, ...]:
+    """Masks of items of ``n`` words, fewer than the longest mask: those that fit, and some over the whole item.
+
+    Each selects at least 4 words; of two replaced words some places are missed.
+    """
+    if n < 5:
+        return ("1" * n,)
+    step = 3 if n >= 9 else 4 if n >= 6 else 5
+    return (*(m for m in MASKS if len(m) <= n), *("".join("01"[k % step != r] for k in range(n)) for r in range(step)))
+
+
 def words(text: Column) -> Column:
     return F.array_remove(F.split(F.lower(text), r"[^\p{L}\p{M}\p{N}]+"), "")
 
@@ -74,7 +86,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, percent: int = 50) -> DataFrame
     hits = _hits(rows, items.where(F.size("item") >= longest), MASKS)
     for (n,) in sorted(items.where(F.size("item") < longest).select(F.size("item")).distinct().collect()):
         hits = hits.select("doc_id", "text_hash", "item_id", "words", "item", "pos", "at").unionByName(
-            _hits(rows, items.where(F.size("item") == n), ("1" * n,)).select("doc_id", "text_hash", "item_id", "words", "item", "pos", "at")
+            _hits(rows, items.where(F.size("item") == n), short_masks(n)).select("doc_id", "text_hash", "item_id", "words", "item", "pos", "at")
         )
     hits = hits.withColumn("diagonal", F.col("pos") - F.col("at"))
     place = F.filter(F.sequence(F.lit(0), F.size("item") - 1), lambda j: F.get("words", F.col("diagonal") + j) == F.get("item", j))
