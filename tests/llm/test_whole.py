@@ -1,7 +1,7 @@
 import numpy as np
 import pytest
 
-from veilframe.llm import ann, decontam
+from veilframe.llm import ann, decontam, jaccard
 
 
 def test_every_neighbour_beyond_the_share():
@@ -44,3 +44,14 @@ def test_short_items_with_a_replaced_word(spark):
     bench = spark.createDataFrame([(n, " ".join(w)) for n, w in items.items()], "item_id long, text string")
     got = {(r.doc_id, r.item_id, r.matched) for r in decontam.leaks(rows, bench).collect()}
     assert got == {(n * 1000 + at, n, n - (at < 99)) for n, at in texts if at == 99 or (at >= 0 and n >= 5)}
+
+
+def test_deduplicate_decides_by_row(spark):
+    a, b, c = (" ".join(f"{x}{k}" for k in range(40)) for x in "abc")
+    near = a.replace("a39", "zz")
+    texts = [(1, a), (2, near), (2, b), (2, b), (3, b), (None, near), (None, c), (None, c), (None, ""), (None, ""), (4, None), (4, None), (5, "one"), (5, "two")]
+    docs = spark.createDataFrame([(t, n, i) for n, (i, t) in enumerate(texts)], "text string, n int, doc_id long")
+    kept = jaccard.deduplicate(docs, 5, 80)
+    got = sorted(((r.doc_id, r.text) for r in kept.collect()), key=str)
+    assert got == sorted([(1, a), (2, b), (None, c), (None, ""), (None, ""), (4, None), (5, "one"), (5, "two")], key=str)
+    assert kept.columns == docs.columns

@@ -268,14 +268,21 @@ def jaccard_components(docs: DataFrame, width: int = 3, percent: int = 90) -> Da
 
 
 def deduplicate(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """One row of each group of linked documents: that with the smallest ``doc_id``.
+    """One row of each group of linked rows: that with the smallest ``doc_id``, null ids last.
 
-    Rows without words stay, as do rows with a null ``doc_id``, which nothing can refer to; of
-    rows that share a ``doc_id`` one stays.  Columns are as they were.
+    Rows are told apart by ``doc_id`` and text together (a 64-bit hash of both), so rows that share
+    a ``doc_id`` or have none are decided each by its own text.  Rows without words stay; of rows
+    with equal ``doc_id`` and text one stays, except those with neither id nor words, which all do.
+    Columns are as they were.
     """
-    found = jaccard_components(docs, width, percent)
-    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    twice = found.groupBy("doc_id").count().where("count > 1 AND doc_id IS NOT NULL").select(F.col("doc_id").alias("_gone"))
-    named = docs.where("doc_id IS NOT NULL").join(stored(gone.unionByName(twice).distinct(), "gone"), F.col("doc_id") == F.col("_gone"), "left_anti")
-    one = docs.join(stored(twice.join(gone, "_gone", "left_anti"), "twice"), F.col("doc_id") == F.col("_gone"), "left_semi").dropDuplicates(["doc_id"])
-    return named.unionByName(one).unionByName(docs.where("doc_id IS NULL"))
+    keyed = docs.withColumn("_key", F.xxhash64("doc_id", F.col("text").cast("string")))
+    found = jaccard_components(keyed.select(F.col("_key").alias("doc_id"), "text"), width, percent)
+    found = found.groupBy(F.col("doc_id").alias("_key")).agg(F.first("component_id").alias("c"), F.first("n_shingles").alias("n"), F.count("*").alias("rows"))
+    ids = keyed.groupBy("_key").agg(F.first("doc_id").alias("id"))
+    found = stored(found.join(ids, "_key"), "rows").withColumn("rank", F.struct(F.col("id").isNull(), "id", "_key"))
+    best = found.groupBy("c").agg(F.min("rank")["_key"].alias("best"), F.count("*").alias("many")).where("many > 1")
+    gone = stored(found.join(best, "c").where("_key <> best").select("_key"), "gone")
+    twice = found.where("rows > 1 AND (n > 0 OR id IS NOT NULL)").select("_key")
+    one = stored(twice.join(gone, "_key", "left_anti"), "twice")
+    named = keyed.join(gone.unionByName(one), "_key", "left_anti")
+    return named.unionByName(keyed.join(one, "_key", "left_semi").dropDuplicates(["_key"])).select(*docs.columns)
