@@ -1,7 +1,11 @@
+import zlib
+
 import numpy as np
 import pytest
+from tokenizers import Tokenizer
 
-from veilframe.llm import ann, decontam, jaccard
+from veilframe.llm import ann, decontam, jaccard, packing, wavelet
+from veilframe.llm.tokens import Coder, tokenizer_path
 
 
 def test_every_neighbour_beyond_the_share():
@@ -55,3 +59,22 @@ def test_deduplicate_decides_by_row(spark):
     got = sorted(((r.doc_id, r.text) for r in kept.collect()), key=str)
     assert got == sorted([(1, a), (2, b), (None, c), (None, ""), (None, ""), (4, None), (5, "one"), (5, "two")], key=str)
     assert kept.columns == docs.columns
+
+
+ADDED = ["<|endoftext|>", "a <|endoftext|> b", "a<|endoftext|>b  c\n", " <|startoftext|><|endoftext|>", "<|ENDOFTEXT|> <|", "<|endof text|>", "plain text"]
+
+
+@pytest.mark.parametrize("name,blank,end", [("byte_bpe_50k.json", True, 50256), ("word_bpe_49k.json", False, 49407)])
+def test_added_tokens_are_one_id(spark, name, blank, end):
+    plain = Tokenizer.from_file(tokenizer_path(name))
+    want = [np.array(plain.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in ADDED]
+    code = Coder(tokenizer_path(name), blank, limit=3)
+    assert code.encode(ADDED) == want and code.encode(ADDED[::-1]) == want[::-1]
+    assert want[0] == np.array([end], "<u4").tobytes()
+    docs = spark.createDataFrame(list(enumerate(ADDED)), "doc_id long, text string")
+    if blank:
+        rows = wavelet.read_shards(wavelet.write_shards(docs, tokenizer_path(name), 2, shard_tokens=10)).orderBy("doc_id").collect()
+        assert [r.ids_crc32 for r in rows] == [zlib.crc32(w + np.array([2], "<u4").tobytes()) for w in want]
+    else:
+        rows = packing.pack(docs, tokenizer_path(name), 1, size=64, with_ids=True).orderBy("doc_id").collect()
+        assert [bytes(r.ids) for r in rows] == [w + np.array([1], "<u4").tobytes() for w in want]

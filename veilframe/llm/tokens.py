@@ -3,7 +3,8 @@
 Both tokenizer kinds cut a text before every blank that precedes a visible character, so a
 text is the concatenation of independent chunks; each distinct chunk goes through the
 ``tokenizers`` library once per worker and is then reused.  Ids are identical to encoding
-the whole text; texts with runs of blanks take the same path with a stricter cutter.
+the whole text; texts with runs of blanks take the same path with a stricter cutter, and
+texts that hold an added token (``<|endoftext|>``) literally are encoded whole.
 """
 
 from __future__ import annotations
@@ -37,7 +38,7 @@ class Coder:
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True
+        self.added = [a.content for a in self.tok.get_added_tokens_decoder().values()]
         self.blank = leading_blank
         self.limit = limit
         self.cache: dict[str, bytes] = {}
@@ -78,7 +79,10 @@ class Coder:
         """Little-endian unsigned 32-bit ids of each text."""
         heads, cut = [], []
         for t in texts:
-            if not self.blank:
+            if any(a in t for a in self.added):
+                heads.append(self.whole(t))
+                cut.append([])
+            elif not self.blank:
                 heads.append(b"")
                 cut.append(t.replace("\n", " ").split(" "))
             elif _IRREGULAR.search(t):
