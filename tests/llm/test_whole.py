@@ -1,10 +1,11 @@
+import itertools
 import zlib
 
 import numpy as np
 import pytest
 from tokenizers import Tokenizer
 
-from veilframe.llm import ann, decontam, jaccard, packing, wavelet
+from veilframe.llm import ann, chars, decontam, jaccard, langid, packing, quality, toxicity, wavelet
 from veilframe.llm.tokens import Coder, tokenizer_path
 
 
@@ -78,3 +79,75 @@ def test_added_tokens_are_one_id(spark, name, blank, end):
     else:
         rows = packing.pack(docs, tokenizer_path(name), 1, size=64, with_ids=True).orderBy("doc_id").collect()
         assert [bytes(r.ids) for r in rows] == [w + np.array([1], "<u4").tobytes() for w in want]
+
+
+def test_label_model_finds_accuracies_and_ties():
+    rng = np.random.default_rng(3)
+    truth = rng.random(4000) < 0.2
+    rates = [(0.05, 0.6), (0.02, 0.4), (0.3, 0.3), (0.01, 0.3)]  # (other, toxic) of each voter; the third tells nothing
+    fires = [np.where(truth, rng.random(4000) < b, rng.random(4000) < a) for a, b in rates]
+    fires += [fires[3]] * 3  # three copies of the fourth
+    rows = [np.flatnonzero([f[i] for f in fires]) for i in range(4000)]
+    given = np.where(rng.random(4000) < 0.5, np.where(rng.random(4000) < 0.03, ~truth, truth).astype(int), -1)
+    q, found, weight, errors = toxicity.label_model(toxicity.Votes(rows, len(fires)), given, np.where(given >= 0, np.where(given == 1, 0.9, 0.05), np.nan))
+    assert np.abs(found[:, :4] - np.array(rates).T).max() < 0.12 and max(errors) < 0.1
+    assert weight[2] == 0 and weight[0] > 0.6 and np.ptp(weight[3:7]) < 1e-9 and weight[3] < 0.4
+    free = given < 0
+    assert ((q > 0.5) == truth)[free].mean() > 0.9 and ((q > 0.5) == truth)[~free].mean() > 0.96
+
+
+def test_toxic_scores_equal_a_plain_sum(spark):
+    bags = [["grumfa", "grumfo", "ab"], ["grumfa"], ["other", "words"], ["wordy", "othera"]] * 30
+    m = toxicity.fit(bags, np.array([1, 1, 0, 0] * 30))
+    texts = ["Grumfa grumfa", "grumfa GRUMFO x", "grumfisti-grumfo", "words idiot", "", None, "other " * 3000 + "idiot"]
+    weights = dict(zip(m.keys.tolist(), m.weights.tolist())), dict(zip(m.pairs.tolist(), m.pair_weights.tolist()))
+    for text, got in zip(texts, toxicity.scores(texts, m, toxicity._flags(m))):
+        own = toxicity._features(sorted({w for w in (text or "").lower().replace("-", " ").split()}))
+        z = m.bias + sum(weights[f.endswith("**")].get(int(toxicity._hash([f])[0]), 0) for f in own)
+        assert abs(got - 1 / (1 + np.exp(-z))) < 1e-9
+
+
+def test_sample_is_never_empty(spark, monkeypatch):
+    rows = spark.range(2000).selectExpr("id AS doc_id", "CAST(id % 2 AS INT) AS y")
+    for most in (1000, 100):
+        for bound in (0, chars.BROADCAST_VALUES):
+            monkeypatch.setattr(chars, "BROADCAST_VALUES", bound)
+            n = chars.bounded_sample(rows, "y", most).groupBy("y").count().collect()
+            assert len(n) == 2 and all(0.5 * most < r["count"] <= max(1000, 2 * most) for r in n)
+
+
+def test_viterbi_against_all_paths():
+    rng = np.random.default_rng(1)
+    scores, at = rng.normal(size=(17, 3)).astype(np.float32), np.array([0, 6, 6, 7, 12, 17])
+    got = langid.viterbi(scores, at, 0.7)
+    for a, b in zip(at, at[1:]):
+        value = lambda path: sum(scores[a + k, s] for k, s in enumerate(path)) - 0.7 * sum(x != y for x, y in zip(path, path[1:]))
+        best = max((value(p) for p in itertools.product(range(3), repeat=b - a)), default=0.0)
+        assert b == a or abs(value(got[a:b].tolist()) - best) < 1e-4
+
+
+def test_more_than_256_languages():
+    scores = np.full((3, 300), -1, np.float32)
+    scores[:, 299] = 0
+    assert langid.viterbi(scores, np.array([0, 3]), 1.0).tolist() == [299, 299, 299]
+
+
+def test_network_against_a_slow_pass():
+    rng = np.random.default_rng(2)
+    m = quality.Model(rng.normal(size=(quality.WIDTH, 256, quality.FILTERS)).astype(np.float32), rng.normal(size=quality.FILTERS).astype(np.float32), rng.normal(size=2 * quality.FILTERS), 0.3, rng.normal(size=2 * quality.FILTERS), np.ones(2 * quality.FILTERS))
+    texts = [b"", b"short", bytes(rng.integers(1, 256, 700, np.uint8)), bytes(rng.integers(1, 256, 3000, np.uint8))]
+    got = quality.predict(np.frombuffer(b"".join(texts), np.uint8), np.concatenate([[0], np.cumsum([len(t) for t in texts])]), m)
+    for text, p in zip(texts, got):
+        values, a = [], 0
+        while True:
+            chunk = text[a : a + quality.CHUNK].ljust(quality.CHUNK, b"\0")
+            sums = [[sum(float(m.filters[k][chunk[i + k]][f]) for k in range(quality.WIDTH)) for i in range(quality.CHUNK - quality.WIDTH + 1)] for f in range(2)]
+            values.append([max(0.0, max(s) + float(m.bias[f])) for f, s in enumerate(sums)])
+            a += quality.STRIDE
+            if a + quality.CHUNK - quality.STRIDE >= len(text):
+                break
+        block, row = quality.chunks(np.frombuffer(text, np.uint8), np.array([0, len(text)]))
+        fast = quality.pooled(block, m)
+        assert np.allclose(fast[:, :2], values, atol=1e-3)
+        z = (np.concatenate([fast.mean(0), fast.max(0)]) - m.center) @ m.head + m.base
+        assert abs(p - 1 / (1 + np.exp(-np.clip(z, -30, 30)))) < 1e-6

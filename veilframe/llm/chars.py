@@ -5,12 +5,19 @@ from __future__ import annotations
 import functools
 import sys
 import unicodedata
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veilframe.llm.arrays import mix, powers
+from veilframe.session import stored
+
+#: Distinct labels up to which their counts are broadcast.
+BROADCAST_VALUES = 100_000
 
 #: Unicode ranges of scripts, first to last code point (fixed values).
 SCRIPTS = (
@@ -85,15 +92,34 @@ class Words:
 
 def text_slices(texts: list[str | None], most: int):
     """Row ranges of about ``most`` characters, or of one text."""
+    return _ranges([len(t or "") for t in texts], most)
+
+
+def _ranges(sizes, most: int):
     i, held = 0, 0
-    for j, t in enumerate(texts):
-        size = len(t or "")
+    for j, size in enumerate(sizes):
         if j > i and held + size > most:
             yield i, j
             i, held = j, 0
         held += size
-    if i < len(texts):
-        yield i, len(texts)
+    if len(sizes):
+        yield i, len(sizes)
+
+
+def passing(text: Column, test: Callable[[list[str | None]], np.ndarray], most: int) -> Column:
+    """Whether each text passes ``test``, which is given about ``most`` bytes of whole texts at a time.
+
+    Only the texts go to the Python workers and one bit a text comes back.
+    """
+
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            sizes = pc.fill_null(pc.binary_length(batch), 0).to_pylist()
+            parts = [test(batch.slice(i, j - i).to_pylist()) for i, j in _ranges(sizes, most)]
+            yield pa.array(np.concatenate(parts) if parts else np.zeros(0, bool), pa.bool_())
+
+    run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
+    return F.arrow_udf(run, "boolean")(text.cast("string"))
 
 
 def remainder(column: str, by: int) -> Column:
@@ -103,11 +129,29 @@ def remainder(column: str, by: int) -> Column:
 def bounded_sample(df: DataFrame, by: str, most: int, key: str = "doc_id") -> DataFrame:
     """About ``most`` rows of each value of ``by``, chosen by a hash of ``key``; all where there are fewer.
 
-    Two reads of ``df``; the first counts ``by`` alone.
+    The share kept is a threshold on 64-bit hashes, so it is never rounded to none.  Counts per
+    value are broadcast while they are at most ``BROADCAST_VALUES``, beyond that joined by a
+    shuffle.  Two reads of ``df``; the first counts ``by`` alone.
+    """
+    counts = stored(df.groupBy(F.col(by).alias("_value")).count().select("_value", F.col("count").alias("_rows")), "values")
+    joined = df.join(F.broadcast(counts) if counts.count() <= BROADCAST_VALUES else counts, F.col(by).eqNullSafe(F.col("_value")))
+    least = F.lit(-(2.0**63)) + F.lit(2.0**64) * F.lit(float(most)) / F.col("_rows")
+    return joined.where((F.col("_rows") <= most) | (F.xxhash64(key, F.lit("sample")).cast("double") < least)).select(*df.columns)
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, most: int, longest: int, unlabelled: bool = False) -> DataFrame:
+    """``doc_id, text, <label>`` of about ``most`` texts of each label; texts of over ``longest`` characters are not drawn.
+
+    Labels are sampled before they meet the texts, so no text is shuffled while the sample is
+    small enough for a broadcast by Spark's own rule.  With ``unlabelled`` about ``most``
+    documents that have no label follow, marked -1.
     """
-    shares = [(v, min(1.0, most / n)) for v, n in df.groupBy(by).count().collect()]
-    keep = F.lit(False)
-    for value, share in shares:
-        own = F.lit(True) if share == 1.0 else F.pmod(F.xxhash64(key, F.lit("sample")), F.lit(1_000_000)) < int(share * 1_000_000)
-        keep = keep | (F.col(by).eqNullSafe(F.lit(value)) & own)
-    return df.where(keep)
+    texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).where(F.col("text").isNotNull() & (F.length("text") <= longest))
+    known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", F.col(label).cast("int").alias(label))
+    out = texts.join(stored(bounded_sample(known, label, most), "labels"), "doc_id").select("doc_id", "text", label)
+    if unlabelled:
+        rows = docs.count()
+        share = F.xxhash64("doc_id", F.lit("free")).cast("double") < -(2.0**63) + 2.0**64 * min(1.0, 2.0 * most / max(1, rows))
+        few = stored(texts.where(share & F.col("doc_id").isNotNull()), "free").join(known.select("doc_id"), "doc_id", "left_anti")
+        out = out.unionByName(bounded_sample(few.withColumn(label, F.lit(-1)), label, most).select("doc_id", "text", label))
+    return out

@@ -20,13 +20,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilframe.llm.chars import SCRIPT_NAMES, Words, bounded_sample, tables, text_slices
+from veilframe.llm.chars import SCRIPT_NAMES, Words, bounded_sample, passing, tables, text_slices
 from veilframe.session import ship
 
 SAMPLE = 1500
 BUCKETS = 1 << 16
 SWITCH = 6.0
-_SLICE = 4 << 20
+_SLICE = 1 << 20
 _NEVER = np.float32(-1e4)
 
 
@@ -93,7 +93,8 @@ def viterbi(scores: np.ndarray, at: np.ndarray, penalty: float) -> np.ndarray:
     first, length = at[:-1][order], length[order]
     longest = int(length[0]) if len(length) else 0
     alive = np.searchsorted(-length, -np.arange(longest), "left")
-    came, moved = np.zeros(n, np.uint8), np.zeros((n, states), bool)
+    kind = np.min_scalar_type(max(1, states))
+    came, moved = np.zeros(n, kind), np.zeros((n, states), bool)
     best = np.zeros((len(length), states), np.float32)
     penalty = np.float32(penalty)
     for t in range(longest):
@@ -107,7 +108,7 @@ def viterbi(scores: np.ndarray, at: np.ndarray, penalty: float) -> np.ndarray:
             np.maximum(own, floor, out=own)
             own -= top
         own += scores[place]
-    state, labels = best.argmax(1), np.zeros(n, np.uint8)
+    state, labels = best.argmax(1), np.zeros(n, kind)
     for t in range(longest - 1, -1, -1):
         k = alive[t]
         place, own = first[:k] + t, state[:k]
@@ -183,18 +184,18 @@ def predict(docs: DataFrame, model: Model, spans: bool = False) -> DataFrame:
 
 
 def identified(docs: DataFrame, model: Model) -> DataFrame:
-    """The rows of ``docs`` whose language is found, columns as they were; no shuffle."""
+    """The rows of ``docs`` whose language is found, columns as they were; no shuffle.
+
+    A row stays if its text has a letter and a word that a learned language is found for.
+    """
     spark = docs.sparkSession
     ship(spark)
     sent = spark.sparkContext.broadcast(model)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = batch.column("text").to_pylist()
-            for i, j in text_slices(texts, _SLICE):
-                keep = np.zeros(j - i, bool)
-                words, labels = label(texts[i:j], sent.value)
-                keep[words.row[labels >= 0]] = True
-                yield batch.slice(i, j - i).filter(pa.array(keep & (words.letters() > 0)))
-
-    return docs.mapInArrow(run, docs.schema)
+    def found(texts: list[str | None]) -> np.ndarray:
+        keep = np.zeros(len(texts), bool)
+        words, labels = label(texts, sent.value)
+        keep[words.row[labels >= 0]] = True
+        return keep & (words.letters() > 0)
+
+    return docs.where(passing(F.col("text"), found, _SLICE))

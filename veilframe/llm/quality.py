@@ -5,7 +5,8 @@ UTF-8 bytes are cut into chunks that overlap and together cover the whole text;
 is max-pooled over a chunk, and the mean and the maximum of the pooled values over all chunks
 give one probability.  No pretrained part, no input but the bytes.
 
-Learned from at most about ``SAMPLE`` labelled texts per class.  Null and empty texts are one
+Learned from at most about ``SAMPLE`` labelled texts per class, each of at most ``LONGEST``
+characters; every text is scored whole.  Null and empty texts are one
 chunk of padding and get the network's answer to that.
 """
 
@@ -20,10 +21,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veilframe.llm import arrays
-from veilframe.llm.chars import bounded_sample
+from veilframe.llm.chars import labelled_sample
 from veilframe.session import ship
 
-SAMPLE = 700
+SAMPLE, LONGEST = 700, 200_000
 WIDTH, FILTERS, CHUNK, STRIDE = 6, 16, 512, 448
 _CHUNKS = 64
 
@@ -149,10 +150,10 @@ def _calibrated(model: Model, texts: list[bytes], labels: np.ndarray) -> Model:
     return model
 
 
-def train(labelled: DataFrame, per_class: int = SAMPLE) -> Model:
-    """Learns from ``labelled(doc_id, text, quality)``; rows without text or label are left out."""
-    rows = labelled.where("text IS NOT NULL AND quality IS NOT NULL").select("doc_id", "text", F.col("quality").cast("int").alias("quality"))
-    sample = bounded_sample(rows, "quality", per_class).select("quality", "text").orderBy("quality", "text").collect()
+def train(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE) -> Model:
+    """Learns from ``docs(doc_id, text)`` and ``labels(doc_id, quality)``; rows without text or label are left out."""
+    ship(docs.sparkSession)
+    sample = labelled_sample(docs, labels, "quality", per_class, LONGEST).select("quality", "text").orderBy("quality", "text").collect()
     labels = np.array([r["quality"] for r in sample])
     if not len(sample) or labels.min() == labels.max():
         fixed = 4.0 if len(labels) and labels[0] else -4.0

@@ -43,14 +43,14 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), 1)
 
 
-def _labelled(spark: SparkSession, sf_dir: str, docs: DataFrame, label: str, by: int, held: int) -> DataFrame:
-    labels = table(spark, sf_dir, "labels").where(remainder("doc_id", by) != held).select("doc_id", label)
-    return docs.where(remainder("doc_id", by) != held).select("doc_id", "text").join(labels, "doc_id")
+def _known(spark: SparkSession, sf_dir: str, label: str, by: int, held: int) -> DataFrame:
+    """The labels that may be learned from."""
+    return table(spark, sf_dir, "labels").where(remainder("doc_id", by) != held).select("doc_id", label)
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    model = quality.train(_labelled(spark, sf_dir, docs, "quality", 3, 1))
+    model = quality.train(docs.where(remainder("doc_id", 3) != 1), _known(spark, sf_dir, "quality", 3, 1))
     held = F.coalesce(remainder("doc_id", 3) == 1, F.lit(False)).alias("held_out")
     return quality.score(docs, model).select("doc_id", held, "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
@@ -61,7 +61,7 @@ def op8_urlfilter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    model = toxicity.train(_labelled(spark, sf_dir, docs, "toxic", 4, 2))
+    model = toxicity.train(docs.where(remainder("doc_id", 4) != 2), _known(spark, sf_dir, "toxic", 4, 2))
     held = F.coalesce(remainder("doc_id", 4) == 2, F.lit(False)).alias("held_out")
     return toxicity.score(docs, model).select("doc_id", held, "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 

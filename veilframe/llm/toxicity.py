@@ -1,14 +1,18 @@
 """Toxicity by weak supervision.
 
-Many voters look at a text: lexicon voters for words (some stated here, most found by their
-link with the labels) and pattern voters for word beginnings, which also see inflected and
-unseen forms.  A generative model with a latent label, fitted by EM, estimates how often each
-voter fires on toxic and on other texts; the given label is one more voter with its own
-estimated accuracy.  Excess agreement of two voters given the latent label is their
+Voters are defined without a look at any label.  A lexicon voter fires on a stated word; a
+pattern voter fires on a beginning of 4 to 6 letters, another where two different words of a
+text begin so, which also sees inflected and unseen forms.  Every beginning of the sampled
+texts that is neither very rare nor common is a pattern.  A generative model with a latent
+label, fitted by EM over labelled and unlabelled texts alike, estimates how often each voter
+fires on toxic and on other texts; a given label is one more observation of the latent one,
+with error rates of its own that are estimated too.  Voters that tell nothing weigh nothing.
+In every round the agreement of two voters beyond what the latent label explains is their
 correlation, and correlated voters share their weight.  A linear classifier over hashed words
 and beginnings is then trained on the posterior labels and scores every text.
 
-Learned from at most about ``SAMPLE`` labelled texts per class.  Null and empty texts have no
+Learned from at most about ``SAMPLE`` texts of each label and as many unlabelled ones, each of
+at most ``LONGEST`` characters; every text is scored whole.  Null and empty texts have no
 features and get the classifier's base score.
 """
 
@@ -23,36 +27,58 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilframe.llm.chars import Words, bounded_sample, text_slices
+from veilframe.llm.chars import Words, labelled_sample, passing, text_slices
 from veilframe.session import ship
 
-SAMPLE = 2000
-LEXICON = ("idiot", "moron", "stupid", "pathetic", "worthless", "disgusting", "scum", "trash", "loser", "clown", "dumb", "ugly", "imbecile", "filth", "vermin")
-#: Correlation from which two voters count as saying the same.
-TIED = 0.4
+SAMPLE, LONGEST = 2000, 200_000
+# Insults of several languages, one plain list.
+LEXICON = tuple(
+    """idiot moron stupid pathetic worthless disgusting scum trash loser clown dumb ugly imbecile filth vermin bastard coward cretin
+    jerk fool garbage creep freak pig rat swine liar retard imbécile crétin salaud ordure abruti débile connard pourriture
+    trottel dummkopf abschaum schwein versager widerlich wertlos arschloch estúpido imbécil basura escoria patético payaso
+    asqueroso perdedor inútil stupido cretino schifoso feccia perdente pagliaccio""".split()
+)
 SIZES = (4, 5, 6)
+#: A pattern is a beginning in at least ``RARE`` sampled texts and at most ``COMMON`` of them.
+RARE, COMMON = 3, 0.3
+#: How much oftener a voter must fire on toxic texts to weigh anything, and voters that weigh at most.
+LIFT, VOTERS = 4.0, 400
+#: Shares of toxic and of other texts that a label calls toxic, as far as known beforehand; it counts like all labelled texts.
+TRUST = (0.95, 0.01)
 _TABLE = 1 << 20
-_SLICE = 4 << 20
+_SLICE = 1 << 20
 
 
 @dataclass
 class Model:
-    keys: np.ndarray  # sorted feature hashes
+    keys: np.ndarray  # sorted hashes of words and beginnings
     weights: np.ndarray
     bias: float
-
-
-def _features(word: str) -> list[str]:
-    return [word, *(f"{word[:n]}*" for n in SIZES if len(word) >= n)]
+    pairs: np.ndarray  # sorted hashes of beginnings that two different words must have
+    pair_weights: np.ndarray
+
+
+def _features(words: list[str]) -> set[str]:
+    """Words, their beginnings (``abcd*``) and those of two different words (``abcd**``)."""
+    out = set(words)
+    for n in SIZES:
+        once: set[str] = set()
+        for w in words:
+            if len(w) >= n:
+                stem = f"{w[:n]}*"
+                if stem in once:
+                    out.add(f"{stem}*")
+                once.add(stem)
+        out |= once
+    return out
 
 
 def _hash(features: list[str]) -> np.ndarray:
     out = np.zeros(len(features), np.uint64)
     for size in (None, *SIZES):
-        own = [i for i, f in enumerate(features) if (len(f) - 1 if f.endswith("*") else None) == size]
+        own = [i for i, f in enumerate(features) if (len(f.rstrip("*")) if f.endswith("*") else None) == size]
         if own:
-            words = Words([features[i].rstrip("*") for i in own])
-            out[own] = words.hashes(size)
+            out[own] = Words([features[i].rstrip("*") for i in own]).hashes(size)
     return out
 
 
@@ -66,122 +92,204 @@ def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch({"toxic": batch.column("toxic"), "words": pa.array(bags, pa.list_(pa.string()))})
 
 
-def label_model(votes: np.ndarray, given: np.ndarray, rounds: int = 8) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Posterior of the latent label, firing rates (class x voter) and weights of the voters.
+class Votes:
+    """Which voters fire on which texts, as (text, voter) pairs."""
 
-    ``votes`` is texts x voters of 0/1; ``given`` the labels, taken as the last voter.
-    """
-    v = np.column_stack([votes, given]).astype(np.float64)
-    q = np.clip(given.astype(np.float64), 0.02, 0.98)
-    weight = np.ones(v.shape[1])
-    for step in range(rounds):
-        rates = np.stack([((1 - q) @ v + 0.5) / ((1 - q).sum() + 1), (q @ v + 0.5) / (q.sum() + 1)])
-        if step == 2:  # agreement beyond what the latent label explains
-            rest = v - ((1 - q)[:, None] * rates[0] + q[:, None] * rates[1])
-            rest /= np.maximum(1e-9, np.sqrt((rest * rest).sum(0)))
-            excess = np.abs(rest.T @ rest) - np.eye(v.shape[1])
-            weight = 1 / (1 + np.where(excess > TIED, excess, 0).sum(1))
-            weight[-1] = 1.0
-        prior = math.log(max(1e-6, q.mean()) / max(1e-6, 1 - q.mean()))
-        on = np.log(rates[1] / rates[0])
-        off = np.log((1 - rates[1]) / (1 - rates[0]))
-        q = 1 / (1 + np.exp(-np.clip(prior + (v * on + (1 - v) * off) @ weight, -30, 30)))
-    return q, rates, weight
+    def __init__(self, bags: list[np.ndarray], voters: int) -> None:
+        self.texts, self.voters = len(bags), voters
+        self.row = np.repeat(np.arange(len(bags)), [len(b) for b in bags])
+        self.col = np.concatenate(bags) if bags else np.zeros(0, np.int64)
+
+    def fired(self, mass: np.ndarray) -> np.ndarray:
+        """Sum over the texts on which each voter fires."""
+        return np.bincount(self.col, mass[self.row], self.voters)
+
+    def total(self, weight: np.ndarray) -> np.ndarray:
+        """Sum over the voters that fire on each text."""
+        return np.bincount(self.row, weight[self.col], self.texts)
+
+    def dense(self, voters: np.ndarray) -> np.ndarray:
+        place = np.full(self.voters, -1)
+        place[voters] = np.arange(len(voters))
+        out, some = np.zeros((self.texts, len(voters)), np.float32), place[self.col] >= 0
+        out[self.row[some], place[self.col[some]]] = 1
+        return out
 
 
-def _associated(bags: list[np.ndarray], classes: np.ndarray, size: int, least: int, ratio: float) -> list[int]:
+def label_model(votes: Votes, given: np.ndarray, first: np.ndarray, rounds: int = 8):
+    """Posterior of the latent label; per voter its firing rates (other, toxic) and weight; error rates of the labels.
+
+    ``given`` is 1, 0 or -1 (not labelled); ``first`` the probability to begin with, NaN for texts
+    that the first estimates leave out.
+    """
+    sure, known = ~np.isnan(first), given >= 0
+    q = np.where(sure, first, 0.0)
+    weight = np.zeros(votes.voters)
+    rates, errors = np.zeros((2, votes.voters)), (0.0, 0.0)
+    noise = 2 / math.sqrt(max(1, votes.texts))
+    for _ in range(rounds):
+        other = np.where(sure, 1 - q, 0.0)
+        rates = np.stack([(votes.fired(other) + 0.5) / (other.sum() + 1), (votes.fired(q) + 0.5) / (q.sum() + 1)])
+        weight = np.zeros(votes.voters)
+        telling = np.flatnonzero((rates[1] >= LIFT * rates[0]) & (votes.fired(q) >= 2.5))
+        telling = telling[np.argsort(-(votes.fired(q) * np.log(rates[1] / rates[0]))[telling], kind="stable")[:VOTERS]]
+        if len(telling):
+            v = votes.dense(telling)
+            rest = sure[:, None] * (v - ((1 - q)[:, None] * rates[0][telling] + q[:, None] * rates[1][telling]))
+            rest /= np.maximum(1e-9, np.sqrt((rest * rest).sum(0)))
+            tied = rest.T @ rest
+            np.fill_diagonal(tied, 0)
+            weight[telling] = 1 / (1 + np.where(tied > noise, tied, 0).sum(1))
+        on, off = np.log(rates[1] / rates[0]), np.log((1 - rates[1]) / (1 - rates[0]))
+        z = math.log(max(1e-6, q.sum()) / max(1e-6, other.sum())) + (weight * off).sum() + votes.total(weight * (on - off))
+        if known.any():  # the given label: how often it is 1 on toxic and on other texts
+            said, trust = (given == 1)[known], float(known.sum())
+            hit = (q[known][said].sum() + TRUST[0] * trust) / (q[known].sum() + trust)
+            false = ((1 - q)[known][said].sum() + TRUST[1] * trust) / ((1 - q)[known].sum() + trust)
+            errors = (float(1 - hit), float(false))
+            z += np.where(known, np.where(given == 1, math.log(hit / false), math.log((1 - hit) / (1 - false))), 0.0)
+        q, sure = 1 / (1 + np.exp(-np.clip(z, -30, 30))), np.ones(len(q), bool)
+    return q, rates, weight, errors
+
+
+def _telling(votes: Votes, q: np.ndarray, least: float, ratio: float) -> np.ndarray:
     """Features of at least ``least`` toxic texts and ``ratio`` times as common there, strongest first."""
-    counts = np.zeros((2, size))
-    for y in (0, 1):
-        own = [b for b, c in zip(bags, classes) if c == y]
-        if own:
-            counts[y] = np.bincount(np.concatenate(own), minlength=size)
-    totals = [max(0, int((classes == y).sum())) for y in (0, 1)]
-    lift = (counts[1] + 0.5) / (totals[1] + 1) / ((counts[0] + 0.5) / (totals[0] + 1))
-    found = np.flatnonzero((counts[1] >= least) & (lift >= ratio))
-    return found[np.argsort(-counts[1][found] * np.log(lift[found]), kind="stable")].tolist()
-
-
-def train(labelled: DataFrame, per_class: int = SAMPLE, voters: int = 300) -> Model:
-    """Learns from ``labelled(doc_id, text, toxic)``; rows without text or label are left out."""
-    ship(labelled.sparkSession)
-    rows = labelled.where("text IS NOT NULL AND toxic IS NOT NULL").select("doc_id", "text", F.col("toxic").cast("int").alias("toxic"))
-    sample = bounded_sample(rows, "toxic", per_class).select("toxic", "text").mapInArrow(_bags, "toxic int, words array<string>").orderBy("toxic", "words")
-    ids: dict[str, int] = {f: i for i, f in enumerate(LEXICON)}
-    given_list, bags = [], []
-    for row in sample.toLocalIterator():  # a partition at a time; features are kept as numbers
-        given_list.append(row["toxic"])
-        bags.append(np.array(sorted({ids.setdefault(f, len(ids)) for w in row["words"] for f in _features(w)}), np.int32))
-    given = np.array(given_list)
-    if not len(given) or given.min() == given.max():
-        return Model(np.zeros(0, np.uint64), np.zeros(0), 4.0 if len(given) and given[0] else -4.0)
-    stated = list(range(len(LEXICON)))
-    chosen = list(dict.fromkeys([*stated, *_associated(bags, given, len(ids), 3, 8.0)]))[:voters]
-    votes = np.array([np.isin(chosen, bag) for bag in bags])
-    posterior, _, _ = label_model(votes, given)
-
-    hard = posterior > 0.5
-    sizes = [int((~hard).sum()), int(hard.sum())]
-    kept = list(dict.fromkeys([*stated, *_associated(bags, hard.astype(int), len(ids), 3, 4.0)[:4000]]))
-    place = np.full(len(ids), -1)
-    place[kept] = np.arange(len(kept))
-    names = list(ids)
-    used = [names[i] for i in kept]
-    cols = [place[bag][place[bag] >= 0] for bag in bags]
-    row, col = np.repeat(np.arange(len(bags)), list(map(len, cols))), np.concatenate(cols)
-    balance = np.where(hard, 0.5 / max(1, sizes[1]), 0.5 / max(1, sizes[0]))
+    counts = votes.fired(q)
+    lift = (counts + 0.5) / (q.sum() + 1) / ((votes.fired(1 - q) + 0.5) / ((1 - q).sum() + 1))
+    found = np.flatnonzero((counts >= least) & (lift >= ratio))
+    return found[np.argsort(-counts[found] * np.log(lift[found]), kind="stable")]
+
+
+def _linear(votes: Votes, posterior: np.ndarray, used: np.ndarray, rounds: int = 300) -> tuple[np.ndarray, float]:
+    """Weights of a logistic regression on the posterior labels; both classes weigh alike."""
+    place = np.full(votes.voters, -1)
+    place[used] = np.arange(len(used))
+    some = place[votes.col] >= 0
+    row, col = votes.row[some], place[votes.col[some]]
+    mass = np.array([(1 - posterior).sum(), posterior.sum()])
+    balance = posterior * 0.5 / max(1.0, mass[1]) + (1 - posterior) * 0.5 / max(1.0, mass[0])
     w, b, gw, gb = np.zeros(len(used)), -1.0, np.full(len(used), 1e-8), 1e-8
-    for _ in range(300):
-        z = b + np.bincount(row, w[col], len(bags))
+    for _ in range(rounds):
+        z = b + np.bincount(row, w[col], votes.texts)
         slope = balance * (1 / (1 + np.exp(-np.clip(z, -30, 30))) - posterior)
-        dw, db = np.bincount(col, slope[row], len(used)) + 2e-6 * w, slope.sum()
+        dw, db = np.bincount(col, slope[row], len(used)) + 3e-3 * w, slope.sum()
         gw, gb = gw + dw * dw, gb + db * db
         w, b = w - 0.5 * dw / np.sqrt(gw), b - 0.5 * db / math.sqrt(gb)
-    keys = _hash(used)
-    order = np.argsort(keys)
-    return Model(keys[order], w[order], float(b))
+    return w, float(b)
+
+
+def fit(bags: list[list[str]], given: np.ndarray) -> Model:
+    """Learns from the distinct words of texts; ``given`` is 1, 0 or -1 (not labelled)."""
+    ids: dict[str, int] = {f: i for i, f in enumerate(LEXICON)}
+    rows = [np.array(sorted({ids.setdefault(f, len(ids)) for f in _features(words)}), np.int64) for words in bags]
+    names, none = list(ids), np.zeros(0, np.uint64)
+    known = given[given >= 0]
+    if not len(known) or known.min() == known.max():
+        return Model(none, np.zeros(0), 4.0 if len(known) and known[0] else -4.0, none, np.zeros(0))
+    features = Votes(rows, len(names))
+    often = features.fired(np.ones(len(rows)))
+    stated = np.arange(len(names)) < len(LEXICON)
+    pattern = np.array([f.endswith("*") for f in names]) & (often >= RARE) & (often <= max(RARE, COMMON * len(rows)))
+    voter = np.flatnonzero(stated | pattern)
+    place = np.full(len(names), -1)
+    place[voter] = np.arange(len(voter))
+    votes = Votes([place[r][place[r] >= 0] for r in rows], len(voter))
+    spoken = votes.total(stated[voter].astype(float)) > 0
+    first = np.where(given >= 0, np.where(given == 1, 0.95, 0.02), np.where(spoken, 0.9, np.nan))
+    posterior, *_ = label_model(votes, given, first)
+    used = np.unique(np.concatenate([np.arange(len(LEXICON)), _telling(features, posterior, 5.0, 8.0)]))
+    w, b = _linear(features, posterior, used)
+    hashes, pair = _hash([names[i] for i in used]), np.array([names[i].endswith("**") for i in used])
+    parts = []
+    for own in (~pair, pair):
+        order = np.argsort(hashes[own])
+        parts += [hashes[own][order], w[own][order]]
+    return Model(parts[0], parts[1], b, parts[2], parts[3])
+
+
+def train(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE) -> Model:
+    """Learns from ``docs(doc_id, text)`` and ``labels(doc_id, toxic)``; documents without a label are learned from too."""
+    ship(docs.sparkSession)
+    rows = labelled_sample(docs, labels, "toxic", per_class, LONGEST, unlabelled=True)
+    sample = rows.select("toxic", "text").mapInArrow(_bags, "toxic int, words array<string>").orderBy("toxic", "words")
+    given, bags = [], []
+    for row in sample.toLocalIterator():  # a partition at a time
+        given.append(row["toxic"])
+        bags.append(row["words"])
+    return fit(bags, np.array(given, np.int64))
+
+
+def _matches(h: np.ndarray, keys: np.ndarray, flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    near = np.flatnonzero(flags[(h % np.uint64(_TABLE)).astype(np.int64)])
+    if not len(near) or not len(keys):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    k = np.minimum(np.searchsorted(keys, h[near]), len(keys) - 1)
+    ok = keys[k] == h[near]
+    return near[ok], k[ok]
 
 
 def scores(texts: list[str | None], m: Model, flags: np.ndarray) -> np.ndarray:
     words = Words(texts)
     z = np.full(len(texts), m.bias)
-    hits = []
-    for size in (None, *SIZES) if len(m.keys) else ():
-        h = words.hashes(size)
-        near = np.flatnonzero(flags[(h % np.uint64(_TABLE)).astype(np.int64)])
-        if len(near):
-            k = np.minimum(np.searchsorted(m.keys, h[near]), len(m.keys) - 1)
-            ok = m.keys[k] == h[near]
-            hits.append(words.row[near[ok]] * len(m.keys) + k[ok])
-    if hits:
-        seen = np.unique(np.concatenate(hits))
+    whole = words.hashes()
+    singles, pairs, forms = [], [], []
+    for size in (None, *SIZES) if len(m.keys) + len(m.pairs) else ():
+        h = whole if size is None else words.hashes(size)
+        near, k = _matches(h, m.keys, flags)
+        singles.append(words.row[near] * len(m.keys) + k)
+        if size is not None:
+            near, k = _matches(h, m.pairs, flags)
+            pairs.append(words.row[near] * max(1, len(m.pairs)) + k)
+            forms.append(whole[near])
+    if singles and len(m.keys):
+        seen = np.unique(np.concatenate(singles))
         np.add.at(z, seen // len(m.keys), m.weights[seen % len(m.keys)])
+    if pairs and len(m.pairs):
+        where, form = np.concatenate(pairs), np.concatenate(forms)
+        order = np.lexsort((form, where))
+        where, form = where[order], form[order]
+        fresh = np.ones(len(where), bool)
+        fresh[1:] = (where[1:] != where[:-1]) | (form[1:] != form[:-1])
+        place, count = np.unique(where[fresh], return_counts=True)
+        twice = place[count > 1]
+        np.add.at(z, twice // len(m.pairs), m.pair_weights[twice % len(m.pairs)])
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def _map(docs: DataFrame, model: Model, schema, make) -> DataFrame:
+def _flags(m: Model) -> np.ndarray:
+    flags = np.zeros(_TABLE, bool)
+    for keys in (m.keys, m.pairs):
+        flags[(keys % np.uint64(_TABLE)).astype(np.int64)] = True
+    return flags
+
+
+def score(docs: DataFrame, model: Model) -> DataFrame:
+    """``doc_id, score`` for every row of ``docs(doc_id, text)``; no shuffle."""
     spark = docs.sparkSession
     ship(spark)
     sent = spark.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = sent.value
-        flags = np.zeros(_TABLE, bool)
-        flags[(m.keys % np.uint64(_TABLE)).astype(np.int64)] = True
+        flags = _flags(sent.value)
         for batch in batches:
             texts = batch.column("text").to_pylist()
             for i, j in text_slices(texts, _SLICE):
-                yield make(batch.slice(i, j - i), scores(texts[i:j], m, flags))
-
-    return docs.mapInArrow(run, schema)
-
+                yield pa.record_batch({"doc_id": batch.column("doc_id").slice(i, j - i), "score": scores(texts[i:j], sent.value, flags)})
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """``doc_id, score`` for every row of ``docs(doc_id, text)``; no shuffle."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return _map(rows, model, "doc_id long, score double", lambda b, p: pa.record_batch({"doc_id": b.column("doc_id"), "score": p}))
+    return rows.mapInArrow(run, "doc_id long, score double")
 
 
 def clean(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
     """The rows of ``docs`` that score below ``threshold``, columns as they were; no shuffle."""
-    return _map(docs, model, docs.schema, lambda b, p: b.filter(pa.array(p < threshold)))
+    spark = docs.sparkSession
+    ship(spark)
+    sent = spark.sparkContext.broadcast(model)
+    made: list[np.ndarray] = []
+
+    def calm(texts: list[str | None]) -> np.ndarray:
+        if not made:
+            made.append(_flags(sent.value))
+        return scores(texts, sent.value, made[0]) < threshold
+
+    return docs.where(passing(F.col("text"), calm, _SLICE))
