@@ -6,8 +6,9 @@ import zlib
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
-from veilframe.llm import ann, arcwarc, decontam, jaccard, langid, packing, quality, toxicity, urlfilter, wavelet
+from veilframe.llm import ann, arcwarc, decontam, files, jaccard, langid, packing, quality, toxicity, urlfilter, wavelet
 from veilframe.llm.tokens import Coder, tokenizer_path
 
 DOCS = "doc_id long, text string, extra string, rep long"
@@ -23,14 +24,23 @@ EDGE = [(1, None), (2, ""), (3, " \n\t "), (4, "one"), (5, "one"), (6, "a  b \n
 
 @pytest.mark.parametrize("path,blank", [(BYTES, True), (WORDS, False)])
 def test_coder_equals_whole_text(path, blank):
-    code = Coder(path, blank, limit=3)
-    for t in [t or "" for _, t in EDGE] + [" x", "it's don't  ", "<|endoftext|> a", "x \x01 y", "é b c", "İ Σ"]:
-        assert code.encode([t, "b a"]) == [code.whole(t), code.whole("b a")]
+    code, plain = Coder(path, blank, limit=3), Tokenizer.from_file(path)
+    whole = lambda t: np.array(plain.encode(t, add_special_tokens=False).ids, "<u4").tobytes()
+    r, odd = random.Random(1), ["it's", "don't.", "İstanbul", "ŉa", "É.", "straße,,", "ﬁ", "ǅ", "naïve!?", "a\n", "\nb", "", "x ", "l'été", "ΑΣ", "<|", "日本", "x_", "\x85y"]
+    texts = [t or "" for _, t in EDGE] + [" x", "it's don't  ", "<|endoftext|> a", "x \x01 y", "é b c", "İ Σ"]
+    texts += [" ".join(r.choice(odd) for _ in range(9)) for _ in range(300)]
+    assert code.encode(texts) == [whole(t) for t in texts] and all(code.encode([t, "b a"]) == [whole(t), whole("b a")] for t in texts)
 
 
-def test_wavelet_file():
+@pytest.mark.parametrize("block", (64, 1000, 1 << 16))
+def test_wavelet_file(monkeypatch, tmp_path, block):
+    monkeypatch.setattr(wavelet, "BLOCK", block // 8 * 8)
     x = np.random.default_rng(1).integers(0, 300, 1000).astype("<u4")
-    shard = wavelet.Shard(wavelet.build(x, [1, None], [400, 600], 0))
+    data = wavelet.build(x, [1, None], [400, 600], 0)
+    (tmp_path / "s.wvm").write_bytes(data)
+    wide = wavelet.Shard(lambda at, size: files.part((tmp_path / "s.wvm").as_uri(), at, size))
+    assert [wide.access(i) for i in (0, 63, 64, 999)] == x[[0, 63, 64, 999]].tolist() and wide.documents()[0] == [1, None]
+    shard = wavelet.Shard(data)
     assert (shard.tokens() == x).all() and [shard.access(i) for i in range(1000)] == x.tolist()
     for t in (0, 5, 299, 77, 100_000):
         at = np.flatnonzero(x == t).tolist()

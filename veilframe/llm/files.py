@@ -21,3 +21,10 @@ def get(uri: str) -> bytes:
     system, path = fs.FileSystem.from_uri(uri)
     with system.open_input_stream(path) as f:
         return f.read()
+
+
+def part(uri: str, at: int, size: int) -> bytes:
+    """``size`` bytes of a file from an offset, without reading the rest."""
+    system, path = fs.FileSystem.from_uri(uri)
+    with system.open_input_file(path) as f:
+        return f.read_at(size, at)

@@ -2,9 +2,10 @@
 
 Both tokenizer kinds cut a text before every blank that precedes a visible character, so a
 text is the concatenation of independent chunks; each distinct chunk goes through the
-``tokenizers`` library once per worker and is then reused.  Ids are identical to encoding
-the whole text; texts with runs of blanks take the same path with a stricter cutter, and
-texts that hold an added token (``<|endoftext|>``) literally are encoded whole.
+``tokenizers`` library and is then reused.  A chunk of Latin letters and marks after them is
+two pre-tokens, so it goes straight to the library's model; any other chunk through its whole chain.  Ids are identical to encoding the whole
+text; texts with runs of blanks are cut more strictly, and texts that hold an added token
+(``<|endoftext|>``) literally are encoded whole.
 """
 
 from __future__ import annotations
@@ -15,8 +16,19 @@ import re
 import numpy as np
 
 _CODERS: dict[tuple[str, bool], "Coder"] = {}
-_IRREGULAR = re.compile(r"^ | (?:\s|$)")
 _CUT = re.compile(r"(?= \S)")
+#: Latin letters that every Unicode version knows as letters, without the one whose lower case has two characters.
+_PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-įı-ɏ]+)[!-/:-@\[-`{-~]*").fullmatch
+
+
+def _byte_marks() -> dict[int, str]:
+    """The character that stands for each byte in byte-level vocabularies: itself if printable, else one from 256 on."""
+    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    hidden = [b for b in range(256) if b not in shown]
+    return {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(hidden)}
+
+
+_MARKS = _byte_marks()
 
 
 def tokenizer_path(name: str) -> str:
@@ -30,20 +42,26 @@ class Coder:
     """Encodes texts to unsigned 32-bit ids.
 
     ``leading_blank``: the kind whose words carry their leading blank (byte level); otherwise
-    white space is dropped and words are independent.  ``limit`` bounds the cached words.
+    white space is dropped and words are independent.  Words are remembered in two generations
+    of ``limit`` each: a full one becomes the old one, and old words that are met again move on.
     """
 
-    def __init__(self, path: str, leading_blank: bool, limit: int = 800_000) -> None:
+    def __init__(self, path: str, leading_blank: bool, limit: int = 600_000) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
+        self.model = self.tok.model
+        self.model._resize_cache(0)  # words are remembered here
         self.added = [a.content for a in self.tok.get_added_tokens_decoder().values()]
         self.blank = leading_blank
         self.limit = limit
-        self.cache: dict[str, bytes] = {}
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        size = self.tok.get_vocab_size()
+        self.raw = [i.to_bytes(4, "little") for i in range(size)]
+        self.tails: dict[str, bytes] = {}
         if leading_blank:
-            size = self.tok.get_vocab_size()
             self.opens = np.zeros(size, bool)
             for token, i in self.tok.get_vocab().items():
                 self.opens[i] = token.startswith("Ġ")
@@ -51,6 +69,33 @@ class Coder:
             self.mark = self.tok.encode("\x01", add_special_tokens=False).ids
             assert len(self.mark) == 1
 
+    def _model(self, pretoken: str) -> bytes:
+        raw = self.raw
+        return b"".join([raw[t.id] for t in self.model.tokenize(pretoken)])
+
+    def _word(self, letters: str) -> bytes:
+        """Ids of a word of plain Latin letters."""
+        if not self.blank:
+            letters = letters.lower()
+        if not letters.isascii():
+            letters = letters.encode().decode("latin-1").translate(_MARKS)
+        return self._model("Ġ" + letters if self.blank else letters)
+
+    def _plain(self, word: str, end: int) -> bytes:
+        """Ids of a word of letters up to ``end`` and marks; both are remembered apart as well."""
+        if end == len(word):
+            return self._word(word)
+        letters, marks = word[:end], word[end:]
+        own = self.young.get(letters) or self.old.get(letters)
+        if own is None:
+            self.young[letters] = own = self._word(letters)
+        tail = self.tails.get(marks)
+        if tail is None:
+            if len(self.tails) >= self.limit:
+                self.tails = {}
+            self.tails[marks] = tail = self._model(marks)
+        return own + tail
+
     def whole(self, text: str) -> bytes:
         return np.array(self.tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
@@ -77,36 +122,53 @@ class Coder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        heads, cut = [], []
+        if len(self.young) >= self.limit:
+            self.old, self.young = self.young, {}
+        out: list[tuple[bytes, list]] = []
+        hard: list[tuple[list, int, str]] = []
         for t in texts:
             if any(a in t for a in self.added):
-                heads.append(self.whole(t))
-                cut.append([])
+                out.append((self.whole(t), []))
             elif not self.blank:
-                heads.append(b"")
-                cut.append(t.replace("\n", " ").split(" "))
-            elif _IRREGULAR.search(t):
-                head, *rest = _CUT.split(t)
-                heads.append(self.whole(head))
-                cut.append([w[1:] for w in rest])
+                out.append((b"", self._parts(t.replace("\n", " ").split(" "), hard, False)))
             else:
-                words = t.split(" ")
-                heads.append(self.whole(words.pop(0)))
-                cut.append(words)
-        known = self.cache
-        fresh = list(set().union(*cut).difference(known)) if cut else []
-        extra: dict[str, bytes] = {}
+                first, *words = t.split(" ")
+                parts = self._parts(words, hard, True)
+                if parts is None:  # a run of blanks, or white space after a blank
+                    first, *words = _CUT.split(t)
+                    parts = self._parts([w[1:] for w in words], hard, False)
+                out.append((self.whole(first), parts))
+        fresh = list({w for _, _, w in hard})
+        learned: dict[str, bytes] = {}
         if fresh:
-            room = self.limit - len(known)
-            if len(fresh) <= room:
-                self._learn(fresh, known)
-            else:
-                self._learn(fresh, extra)
-                for w in fresh[: max(0, room)]:
-                    known[w] = extra[w]
-        if extra:
-            return [h + b"".join([known[w] if w in known else extra[w] for w in c]) for h, c in zip(heads, cut)]
-        return [h + b"".join(map(known.__getitem__, c)) for h, c in zip(heads, cut)]
+            self._learn(fresh, learned)
+            self.young.update(learned)
+        for parts, i, w in hard:
+            parts[i] = learned[w]
+        return [first + b"".join(parts) for first, parts in out]
+
+    def _parts(self, words: list[str], hard: list, strict: bool) -> list | None:
+        """Ids of each word; those for the library's whole chain are left open in ``hard``.
+
+        ``strict``: None if a blank between the words does not open one.
+        """
+        young, old = self.young, self.old
+        parts = list(map(young.get, words))
+        left = []
+        for i in [i for i, p in enumerate(parts) if p is None]:
+            w = words[i]
+            ids = old.get(w)
+            if ids is None:
+                plain = _PLAIN(w)
+                if plain is None:
+                    if strict and (not w or w[0].isspace()):
+                        return None
+                    left.append((parts, i, w))
+                    continue
+                ids = self._plain(w, plain.end(1))
+            parts[i] = young[w] = ids
+        hard += left
+        return parts
 
 
 def coder(path: str, leading_blank: bool) -> Coder:

@@ -1,20 +1,21 @@
 """Token ids as one wavelet-matrix file per shard.
 
 A shard file holds the ids of consecutive documents as bit planes, highest bit first; below
-each plane the ids are stably parted by that bit.  Planes come with running one-counts, so
-the ids at a position, the count of an id before a position and the place of its k-th
-occurrence are found from the one file without decoding the rest.  Planes and tables are
-compressed apart, and only those asked for are inflated.
-
-Layout: magic ``WVMX0001``, header length (u32), JSON header, compressed blocks.  Blocks:
-doc ids (i64), null flags (u8), token counts (u32), then per plane its words (u64).
+each plane the ids are stably parted by that bit.  Planes are compressed in blocks of
+``BLOCK`` bits, and a directory in the file tells where each block lies and how many ones
+come before it.  The id at a position, the count of an id before a position and the place of
+its k-th occurrence therefore read at most two blocks of each plane, and nothing else.
+
+Layout: magic ``WVMX0002``, header length (u32), JSON header, compressed sections: doc ids
+(i64), null flags (u8), token counts (u32), directory (u32: for each block its compressed
+size and the ones of its plane before it), then the blocks, plane by plane.
 """
 
 from __future__ import annotations
 
 import json
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +26,9 @@ from veilframe.llm import files
 from veilframe.llm.tokens import coder
 from veilframe.session import fresh_path, ship, stored
 
-MAGIC = b"WVMX0001"
+MAGIC = b"WVMX0002"
+#: Bits of a block.
+BLOCK = 1 << 16
 #: Tokens after which a shard file is closed at the end of a document.
 SHARD_TOKENS = 1 << 19
 
@@ -44,55 +47,66 @@ def build(ids: np.ndarray, doc_ids: list[int | None], counts: list[int], start:
         pack(np.array([d is None for d in doc_ids], "u1").tobytes()),
         pack(np.array(counts, "<u4").tobytes()),
     ]
-    zeros = []
+    zeros, planes, sizes, before = [], [], [], []
     for bit in range(levels - 1, -1, -1):
         up = ((x >> x.dtype.type(bit)) & one).astype(bool)
-        packed = np.zeros(-(-n // 64) * 8, np.uint8)
-        flat = np.packbits(up, bitorder="little")
-        packed[: len(flat)] = flat
-        blocks.append(pack(packed.tobytes()))
+        flat, ones = np.packbits(up, bitorder="little"), 0
+        for i in range(0, len(flat), BLOCK // 8):
+            part = flat[i : i + BLOCK // 8]
+            planes.append(pack(part.tobytes()))
+            sizes.append(len(planes[-1]))
+            before.append(ones)
+            ones += int(np.bitwise_count(part).sum(dtype=np.int64))
         low = np.flatnonzero(~up)
         zeros.append(len(low))
         x = np.concatenate([x.take(low), x.take(np.flatnonzero(up))])
-    head = json.dumps({"n": n, "levels": levels, "zeros": zeros, "docs": len(doc_ids), "start": start, "blocks": [len(b) for b in blocks]}).encode()
-    return b"".join([MAGIC, len(head).to_bytes(4, "little"), head, *blocks])
+    blocks.append(pack(np.array([sizes, before], "<u4").tobytes()))
+    head = json.dumps({"n": n, "levels": levels, "zeros": zeros, "docs": len(doc_ids), "start": start, "block": BLOCK, "sections": [len(b) for b in blocks]}).encode()
+    return b"".join([MAGIC, len(head).to_bytes(4, "little"), head, *blocks, *planes])
 
 
 class Shard:
-    """Reads a shard file's bytes."""
+    """Reads a shard file, given as bytes or as a function that reads ``size`` bytes from an offset."""
 
-    def __init__(self, data: bytes) -> None:
-        if data[:8] != MAGIC:
+    def __init__(self, data: bytes | Callable[[int, int], bytes]) -> None:
+        self._read = (lambda at, size: data[at : at + size]) if isinstance(data, bytes) else data
+        top = self._read(0, 12)
+        if top[:8] != MAGIC:
             raise ValueError("not a wavelet shard")
-        size = int.from_bytes(data[8:12], "little")
-        self.head = json.loads(data[12 : 12 + size])
-        self.n, self.levels, self.zeros = (self.head[k] for k in ("n", "levels", "zeros"))
-        self._data, self._at = data, np.concatenate([[0], np.cumsum(self.head["blocks"])]) + 12 + size
-        self._planes: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-
-    def _block(self, k: int) -> bytes:
+        size = int.from_bytes(top[8:12], "little")
+        self.head = json.loads(self._read(12, size))
+        self.n, self.levels, self.zeros, self.block = (self.head[k] for k in ("n", "levels", "zeros", "block"))
+        self._at = np.concatenate([[0], np.cumsum(self.head["sections"])]) + 12 + size
+        per = -(-self.n // self.block)
+        sizes, before = np.frombuffer(self._section(3), "<u4").astype(np.int64).reshape(2, self.levels, per)
+        self._size, self._before = sizes, before
+        self._place = (np.cumsum(sizes.ravel()) - sizes.ravel()).reshape(sizes.shape) + int(self._at[4])
+
+    def _section(self, k: int) -> bytes:
         import zstandard
 
-        return zstandard.ZstdDecompressor().decompress(self._data[self._at[k] : self._at[k + 1]])
+        return zstandard.ZstdDecompressor().decompress(self._read(int(self._at[k]), int(self._at[k + 1] - self._at[k])))
 
     def documents(self) -> tuple[list[int | None], np.ndarray]:
-        ids, null = np.frombuffer(self._block(0), "<i8"), np.frombuffer(self._block(1), "u1")
-        return [None if z else int(d) for d, z in zip(ids, null)], np.frombuffer(self._block(2), "<u4").astype(np.int64)
+        ids, null = np.frombuffer(self._section(0), "<i8"), np.frombuffer(self._section(1), "u1")
+        return [None if z else int(d) for d, z in zip(ids, null)], np.frombuffer(self._section(2), "<u4").astype(np.int64)
 
-    def _plane(self, level: int) -> tuple[np.ndarray, np.ndarray]:
-        """Words of the plane and the ones before each word."""
-        if level not in self._planes:
-            words = np.frombuffer(self._block(3 + level), "<u8")
-            self._planes[level] = words, np.concatenate([[0], np.cumsum(np.bitwise_count(words), dtype=np.int64)])
-        return self._planes[level]
+    def _bits(self, level: int, block: int) -> bytes:
+        """The bits of one block, eight a byte."""
+        import zstandard
 
-    def _ones(self, level: int, i: int) -> int:
-        words, before = self._plane(level)
-        w, r = divmod(i, 64)
-        return int(before[w]) + (int(words[w]) & ((1 << r) - 1)).bit_count() if r else int(before[w])
+        return zstandard.ZstdDecompressor().decompress(self._read(int(self._place[level, block]), int(self._size[level, block])))
 
-    def _bit(self, level: int, i: int) -> int:
-        return int(self._plane(level)[0][i // 64]) >> (i % 64) & 1
+    def _look(self, level: int, i: int) -> tuple[int, int]:
+        """Ones of the plane before place ``i``, and the bit there (0 behind the end)."""
+        block, r = divmod(i, self.block)
+        if block == self._before.shape[1]:  # the end of a plane of whole blocks
+            return self.n - self.zeros[level], 0
+        bits = self._bits(level, block)
+        whole, rest = divmod(r, 8)
+        ones = int(self._before[level, block]) + int.from_bytes(bits[:whole], "little").bit_count()
+        last = bits[whole] if whole < len(bits) else 0
+        return ones + (last & (1 << rest) - 1).bit_count(), last >> rest & 1
 
     def access(self, i: int) -> int:
         """The id at position ``i``."""
@@ -100,7 +114,7 @@ class Shard:
             raise IndexError(i)
         value = 0
         for level in range(self.levels):
-            bit, ones = self._bit(level, i), self._ones(level, i)
+            ones, bit = self._look(level, i)
             value = value << 1 | bit
             i = self.zeros[level] + ones if bit else i - ones
         return value
@@ -110,7 +124,7 @@ class Shard:
         if token >> self.levels:
             return 0, 0
         for level in range(self.levels):
-            x, y = self._ones(level, a), self._ones(level, b)
+            (x, _), (y, _) = self._look(level, a), self._look(level, b)
             a, b = (self.zeros[level] + x, self.zeros[level] + y) if token >> (self.levels - 1 - level) & 1 else (a - x, b - y)
         return a, b
 
@@ -134,13 +148,18 @@ class Shard:
         return i
 
     def _nth(self, level: int, bit: int, k: int) -> int:
-        words, before = self._plane(level)
-        counts = before if bit else np.arange(len(before)) * 64 - before
-        w = int(np.searchsorted(counts, k, "right")) - 1
-        word = int(words[w]) if bit else ~int(words[w]) & (1 << 64) - 1
-        for _ in range(k - int(counts[w])):
+        """Place of the ``k``-th bit of that kind in the plane."""
+        ones = self._before[level]
+        counts = ones if bit else np.arange(len(ones)) * self.block - ones
+        block = int(np.searchsorted(counts, k, "right")) - 1
+        bits = np.frombuffer(self._bits(level, block), np.uint8)
+        each = np.cumsum(np.bitwise_count(bits if bit else ~bits), dtype=np.int64)
+        k -= int(counts[block])
+        byte = int(np.searchsorted(each, k, "right"))
+        word = int(bits[byte]) if bit else ~int(bits[byte]) & 255
+        for _ in range(k - (int(each[byte - 1]) if byte else 0)):
             word &= word - 1
-        return w * 64 + (word & -word).bit_length() - 1
+        return block * self.block + byte * 8 + (word & -word).bit_length() - 1
 
     def occurrences(self, token: int) -> list[int]:
         return [self.select(token, k) for k in range(self.count(token))]
@@ -150,8 +169,8 @@ class Shard:
         kind = np.uint16 if self.levels <= 16 else np.uint32
         v = np.zeros(self.n, kind)
         for level in range(self.levels - 1, -1, -1):
-            words = np.frombuffer(self._block(3 + level), np.uint8)
-            up = np.unpackbits(words, count=self.n, bitorder="little").astype(bool)
+            flat = np.frombuffer(b"".join(self._bits(level, b) for b in range(self._size.shape[1])), np.uint8)
+            up = np.unpackbits(flat, count=self.n, bitorder="little").astype(bool)
             z, out = self.zeros[level], np.empty(self.n, kind)
             out[np.flatnonzero(~up)] = v[:z]
             out[np.flatnonzero(up)] = v[z:] | kind(1 << (self.levels - 1 - level))
