@@ -5,7 +5,9 @@ import numpy as np
 import pytest
 from tokenizers import Tokenizer
 
-from veilframe.llm import ann, chars, decontam, jaccard, langid, packing, quality, toxicity, wavelet
+from pyspark.sql import functions as F
+
+from veilframe.llm import ann, arcwarc, chars, decontam, files, jaccard, langid, packing, quality, toxicity, wavelet
 from veilframe.llm.tokens import Coder, tokenizer_path
 
 
@@ -151,3 +153,32 @@ def test_network_against_a_slow_pass():
         assert np.allclose(fast[:, :2], values, atol=1e-3)
         z = (np.concatenate([fast.mean(0), fast.max(0)]) - m.center) @ m.head + m.base
         assert abs(p - 1 / (1 + np.exp(-np.clip(z, -30, 30)))) < 1e-6
+
+
+def test_clashing_column_names(spark):
+    long = " ".join(f"w{k}" for k in range(40))
+    docs = spark.createDataFrame([(1, long, 7, 8, 9, 10), (2, long, 7, 8, 9, 10), (3, "calm", 7, 8, 9, 10)], "doc_id long, text string, _text_hash int, _hash int, _key int, _gone int")
+    bench = spark.createDataFrame([(0, "calm")], "item_id long, text string")
+    for kept, ids in ((decontam.clean(docs, bench), [1, 2]), (jaccard.deduplicate(docs), [1, 3])):
+        assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == ids and kept.first()._hash == 8
+
+
+def test_archive_offsets_and_names(spark, tmp_path):
+    pages = spark.createDataFrame([(i, f"http://h/{i}", "x" * (200 * i)) for i in range(6)], "page_id long, url string, html string").coalesce(1)
+    seen = []
+    for turn in range(2):
+        arcs = arcwarc.write_arc(pages, (tmp_path / f"a{turn}").as_uri())
+        for path in sorted((tmp_path / f"a{turn}").iterdir()):
+            data = path.read_bytes()
+            for record in arcwarc.read_arc(data):
+                if "Offset" in record:  # a member begins there that holds this very record
+                    assert zlib.decompressobj(31).decompress(data[int(record["Offset"]) :]).startswith(record["URL"].encode() + b" ")
+        warcs = arcwarc.convert(arcs).collect()
+        seen.append(sorted(h["warc-record-id"] for w in warcs for h, _ in arcwarc.read_warc(files.get(w.file))))
+    assert seen[0] == seen[1]
+
+
+def test_one_id_for_two_vectors(spark):
+    rows = [(50, [1.0, 0.0]), (50, [0.0, 1.0]), (1, [1.0, 0.1]), (2, [0.1, 1.0])]
+    got = ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), F.col("vec_id") % 50 == 0, 1).collect()
+    assert [(r.query_id, r.vec_id) for r in got] in ([(50, 1)], [(50, 2)])

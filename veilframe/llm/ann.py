@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from veilframe.session import ship, stored
 
 #: Vectors of a block, and queries that meet it at a time.
-BLOCK, QUERIES = 1 << 16, 1 << 12
+BLOCK, QUERIES = 1 << 13, 1 << 12
 PROJECTIONS, THRESHOLD, WIDTH, SHARE, SURE = 64, 46, 2.0, 0.25, 0.7
 #: Radii of the windows; the last holds every unit vector, whatever the projection.
 RADII = (*(0.5 * 1.08**i for i in range(28)), 1e9)
@@ -125,7 +125,7 @@ def nearest(vectors: DataFrame, asks: Column, k: int = 5) -> DataFrame:
     first = F.row_number().over(Window.partitionBy("embedding").orderBy("vec_id"))
     few = rows.select("vec_id", "embedding").distinct().withColumn("n", first).where(F.col("n") <= k + 1)
     classes = few.groupBy("embedding").agg(F.array_sort(F.collect_list("vec_id")).alias("ids"))
-    classes = stored(classes.withColumn("class_id", F.col("ids")[0]), "classes")
+    classes = stored(classes.withColumn("class_id", F.xxhash64("ids", "embedding")), "classes")
     asked = stored(rows.where("asks").select(F.col("vec_id").alias("query_id"), "embedding").distinct().join(classes.select("class_id", "embedding"), "embedding").select("query_id", "class_id"), "queries")
     wanted = stored(classes.select("class_id", "embedding").join(asked.select("class_id").distinct(), "class_id", "left_semi"), "wanted")
     blocks = max(1, -(-classes.count() // BLOCK))

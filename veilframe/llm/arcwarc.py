@@ -103,6 +103,8 @@ def read_warc(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
 
 
 def record_id(file: str, ordinal: int) -> str:
+    """Identifier of a record by its file's own name and its place there, wherever the file lies."""
+    file = file.rpartition("/")[2]
     return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{file}#{ordinal}')}>"
 
 
@@ -115,7 +117,7 @@ def write_arc(pages: DataFrame, folder: str | None = None) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        pid, number, held, out = TaskContext.get().partitionId(), 0, 0, []
+        pid, number, held, at, out = TaskContext.get().partitionId(), 0, 0, 0, []
 
         def flush() -> pa.RecordBatch:
             files.put(f"{folder}/{name}", b"".join(out))
@@ -127,11 +129,13 @@ def write_arc(pages: DataFrame, folder: str | None = None) -> DataFrame:
                     version = "12"[(pid + number) % 2]
                     name = f"{pid:06d}-{number:05d}.arc.gz"
                     out.append(_member(arc_head(name, version)))
+                    at = len(out[-1])
                 payload = (html or "").encode("utf-8")
                 own = "" if page is None else f"X-Page-Id: {page}\r\n"
                 body = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n{own}Content-Length: {len(payload)}\r\n\r\n".encode() + payload
-                out.append(_member(arc_record(url or "-", "20000101000000", body, version, held, name)))
+                out.append(_member(arc_record(url or "-", "20000101000000", body, version, at, name)))
                 held += len(body)
+                at += len(out[-1])
                 if held >= ROTATE:
                     yield flush()
                     number, held, out = number + 1, 0, []

@@ -13,7 +13,8 @@ wherever any one word is replaced; items of fewer than 5 words must occur whole.
 
 Items without words and documents without words never match.  Rows with equal ``doc_id``
 and text count once.  Other columns are ignored.  Item seeds are broadcast while they are
-at most ``BROADCAST_SEEDS``; beyond that hits come from a shuffle join of the seeds.
+at most ``BROADCAST_SEEDS`` and items while they have at most ``BROADCAST_WORDS`` words;
+beyond that both come from shuffle joins.
 """
 
 from __future__ import annotations
@@ -21,10 +22,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from veilframe.llm.naming import unused
+
 #: All masks select the words 0, 3 and 4; windows whose three don't occur so in any item are left early.
 MASKS = ("110110011", "1011100101", "10011010011")
 CORE = (0, 3, 4)
-BROADCAST_SEEDS = 1_000_000
+BROADCAST_SEEDS, BROADCAST_WORDS = 1_000_000, 5_000_000
 STRETCH, SWAPPED = 13, 2
 
 
@@ -63,25 +66,30 @@ def _core(array: str, pos: str) -> Column:
 
 
 def _hits(rows: DataFrame, items: DataFrame, masks: tuple[str, ...]) -> DataFrame:
-    """Windows of ``rows(doc_id, text_hash, words)`` and ``items(item_id, item)`` that share a seed."""
+    """Windows of ``rows(doc_id, text_hash, words)`` and ``items(key, item_id, item)`` that share a seed.
+
+    Only seeds travel to all windows; items are fetched for the hits.
+    """
     own = _windows(items, "item", "at")
-    seeds = _seeds(own, "item", masks, "at").where("seed IS NOT NULL")
+    seeds = _seeds(own, "item", masks, "at").where("seed IS NOT NULL").select("key", "at", "seed")
+    held = items.agg(F.sum(F.size("item"))).first()[0] or 0
+    bodies = F.broadcast(items) if held <= BROADCAST_WORDS else items
     windows = _windows(rows, "words", "pos")
     if masks == MASKS:
         core = own.where(F.col("at") + min(map(len, MASKS)) <= F.size("item")).select(_core("item", "at").alias("core")).distinct()
     if seeds.count() > BROADCAST_SEEDS:
         found = _seeds(windows, "words", masks, "pos").drop("words").join(seeds, "seed")
         texts = rows.dropDuplicates(["doc_id", "text_hash"]).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), "words")
-        return found.join(texts, (F.col("text_hash") == F.col("_hash")) & F.col("doc_id").eqNullSafe(F.col("_id"))).drop("_id", "_hash")
+        return found.join(texts, (F.col("text_hash") == F.col("_hash")) & F.col("doc_id").eqNullSafe(F.col("_id"))).drop("_id", "_hash").join(bodies, "key")
     if masks == MASKS:
         windows = windows.withColumn("core", _core("words", "pos")).join(F.broadcast(core), "core", "left_semi")
-    return _seeds(windows, "words", masks, "pos").join(F.broadcast(seeds), "seed")
+    return _seeds(windows, "words", masks, "pos").join(F.broadcast(seeds), "seed").join(bodies, "key")
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, percent: int = 50) -> DataFrame:
     """``doc_id, text_hash, item_id, item_words, matched, overlap, first_word`` per document and leaked item."""
     longest = max(map(len, MASKS))
-    items = benchmark.select("item_id", words(F.col("text")).alias("item")).where(F.size("item") > 0).distinct()
+    items = benchmark.select("item_id", words(F.col("text")).alias("item")).where(F.size("item") > 0).distinct().withColumn("key", F.xxhash64("item_id", "item"))
     rows = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), words(F.col("text")).alias("words"))
     hits = _hits(rows, items.where(F.size("item") >= longest), MASKS)
     for (n,) in sorted(items.where(F.size("item") < longest).select(F.size("item")).distinct().collect()):
@@ -105,7 +113,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, percent: int = 50) -> DataFrame
 
 def clean(docs: DataFrame, benchmark: DataFrame, percent: int = 50) -> DataFrame:
     """``docs`` without the rows into which a benchmark item leaks, columns as they were."""
-    bad = leaks(docs, benchmark, percent).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()
-    rows = docs.withColumn("_text_hash", F.xxhash64("text"))
-    kept = rows.join(bad, (rows["_text_hash"] == bad["_hash"]) & rows["doc_id"].eqNullSafe(bad["_id"]), "left_anti")
-    return kept.drop("_text_hash")
+    key, mark = unused(docs, "_id"), unused(docs, "_hash")
+    bad = leaks(docs.select("doc_id", "text"), benchmark, percent).select(F.col("doc_id").alias(key), F.col("text_hash").alias(mark)).distinct()
+    same = (F.xxhash64(docs["text"]) == bad[mark]) & docs["doc_id"].eqNullSafe(bad[key])
+    return docs.join(bad, same, "left_anti")

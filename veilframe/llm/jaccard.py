@@ -13,8 +13,9 @@ Two documents link when their sets of word shingles have a Jaccard similarity of
    components still differ, so a large group of near copies costs a row per copy.  Every
    link between components is found; links inside a component are not enumerated.
 
-Null, empty or word-less texts have no shingles and link with nothing.  Rows that share a
-``doc_id`` count as one node; a null ``doc_id`` never represents a component.  Shingles are
+Null, empty or word-less texts have no shingles and link with nothing.  Each row is judged by
+its own text: rows that share a ``doc_id`` may lie in different components (``deduplicate``
+keeps them apart); a null ``doc_id`` never represents a component.  Shingles are
 64-bit hashes.  Other columns are ignored.
 """
 
@@ -28,6 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veilframe.llm import arrays
+from veilframe.llm.naming import unused
 from veilframe.session import ship, stored
 
 #: Buckets of the occurrence counts that order the shingles: 4 MB as a broadcast, at any input size.
@@ -275,14 +277,15 @@ def deduplicate(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame
     with equal ``doc_id`` and text one stays, except those with neither id nor words, which all do.
     Columns are as they were.
     """
-    keyed = docs.withColumn("_key", F.xxhash64("doc_id", F.col("text").cast("string")))
-    found = jaccard_components(keyed.select(F.col("_key").alias("doc_id"), "text"), width, percent)
-    found = found.groupBy(F.col("doc_id").alias("_key")).agg(F.first("component_id").alias("c"), F.first("n_shingles").alias("n"), F.count("*").alias("rows"))
-    ids = keyed.groupBy("_key").agg(F.first("doc_id").alias("id"))
-    found = stored(found.join(ids, "_key"), "rows").withColumn("rank", F.struct(F.col("id").isNull(), "id", "_key"))
-    best = found.groupBy("c").agg(F.min("rank")["_key"].alias("best"), F.count("*").alias("many")).where("many > 1")
-    gone = stored(found.join(best, "c").where("_key <> best").select("_key"), "gone")
-    twice = found.where("rows > 1 AND (n > 0 OR id IS NOT NULL)").select("_key")
-    one = stored(twice.join(gone, "_key", "left_anti"), "twice")
-    named = keyed.join(gone.unionByName(one), "_key", "left_anti")
-    return named.unionByName(keyed.join(one, "_key", "left_semi").dropDuplicates(["_key"])).select(*docs.columns)
+    key = unused(docs, "_key")
+    keyed = docs.withColumn(key, F.xxhash64("doc_id", F.col("text").cast("string")))
+    found = jaccard_components(keyed.select(F.col(key).alias("doc_id"), "text"), width, percent)
+    found = found.groupBy(F.col("doc_id").alias(key)).agg(F.first("component_id").alias("c"), F.first("n_shingles").alias("n"), F.count("*").alias("rows"))
+    ids = keyed.groupBy(key).agg(F.first("doc_id").alias("id"))
+    found = stored(found.join(ids, key), "rows").withColumn("rank", F.struct(F.col("id").isNull(), "id", key))
+    best = found.groupBy("c").agg(F.min("rank")[key].alias("best"), F.count("*").alias("many")).where("many > 1")
+    gone = stored(found.join(best, "c").where(F.col(key) != F.col("best")).select(key), "gone")
+    twice = found.where("rows > 1 AND (n > 0 OR id IS NOT NULL)").select(key)
+    one = stored(twice.join(gone, key, "left_anti"), "twice")
+    named = keyed.join(gone.unionByName(one), key, "left_anti")
+    return named.unionByName(keyed.join(one, key, "left_semi").dropDuplicates([key])).select(*docs.columns)

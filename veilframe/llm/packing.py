@@ -155,7 +155,8 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, size: int = SIZE, with_id
     table = plan({int(n): int(c) for n, c in counts.groupBy("length").agg(F.sum("count")).collect()}, size)
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     base = counts.select("part", "length", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("base"))
-    ranked = pieces.join(base, ["part", "length"]).withColumn("rank", F.col("rank") + F.col("base"))
+    # The counts grow with the tasks, so they are never broadcast.
+    ranked = pieces.join(base.hint("merge"), ["part", "length"]).withColumn("rank", F.col("rank") + F.col("base"))
     out = "doc_id long, piece int, start long, length long, ids_crc32 long, ids binary, sequence_id long, offset long"
     placed = ranked.select("doc_id", "piece", "start", "length", "ids_crc32", "ids", "rank").mapInArrow(_place(table), out)
     return placed if with_ids else placed.drop("ids")
