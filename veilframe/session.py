@@ -38,8 +38,15 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Bytes of an Arrow batch; Spark's own bound is as large as what is left to a worker beside a full heap.
+BATCH = 8 << 20
+
+
 def ship(spark: SparkSession) -> None:
-    """Sends this package to the executors, once per application."""
+    """Sends this package to the executors, once per application, and bounds the bytes of Arrow batches to them."""
+    size = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(spark.conf.get(size).rstrip("b")) > BATCH:
+        spark.conf.set(size, str(BATCH))
     app = spark.sparkContext.applicationId
     if app in _SHIPPED:
         return
