@@ -99,13 +99,17 @@ def test_label_model_finds_accuracies_and_ties():
 
 
 def test_toxic_scores_equal_a_plain_sum(spark):
-    bags = [["grumfa", "grumfo", "ab"], ["grumfa"], ["other", "words"], ["wordy", "othera"]] * 30
-    m = toxicity.fit(bags, np.array([1, 1, 0, 0] * 30))
+    bags = ["grumfa grumfo ab", "grumfa", "other words", "wordy othera"] * 30
+    m = toxicity.fit([toxicity.features(t) for t in bags], np.array([1, 1, 0, 0] * 30))
     texts = ["Grumfa grumfa", "grumfa GRUMFO x", "grumfisti-grumfo", "words idiot", "", None, "other " * 3000 + "idiot"]
-    weights = dict(zip(m.keys.tolist(), m.weights.tolist())), dict(zip(m.pairs.tolist(), m.pair_weights.tolist()))
+    one, two = dict(zip(m.keys.tolist(), m.weights.tolist())), dict(zip(m.pairs.tolist(), m.pair_weights.tolist()))
+    value = lambda w, n=None: int(chars.Words([w]).hashes(n)[0])
     for text, got in zip(texts, toxicity.scores(texts, m, toxicity._flags(m))):
-        own = toxicity._features(sorted({w for w in (text or "").lower().replace("-", " ").split()}))
-        z = m.bias + sum(weights[f.endswith("**")].get(int(toxicity._hash([f])[0]), 0) for f in own)
+        own = sorted(set((text or "").lower().replace("-", " ").split()))
+        z = m.bias + sum(one.get(value(w), 0) for w in own)
+        for n in toxicity.SIZES:
+            starts = [w[:n] for w in own if len(w) >= n]
+            z += sum(one.get(value(x, n), 0) + (two.get(value(x, n), 0) if starts.count(x) > 1 else 0) for x in set(starts))
         assert abs(got - 1 / (1 + np.exp(-z))) < 1e-9
 
 

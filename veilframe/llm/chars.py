@@ -143,8 +143,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, most: int, l
     """``doc_id, text, <label>`` of about ``most`` texts of each label; texts of over ``longest`` characters are not drawn.
 
     Labels are sampled before they meet the texts, so no text is shuffled while the sample is
-    small enough for a broadcast by Spark's own rule.  With ``unlabelled`` about ``most``
-    documents that have no label follow, marked -1.
+    small enough for a broadcast by Spark's own rule.  With ``unlabelled`` those without
+    a label among about ``2 * most`` documents of all follow, marked -1.
     """
     texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).where(F.col("text").isNotNull() & (F.length("text") <= longest))
     known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", F.col(label).cast("int").alias(label))
@@ -153,5 +153,5 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, most: int, l
         rows = docs.count()
         share = F.xxhash64("doc_id", F.lit("free")).cast("double") < -(2.0**63) + 2.0**64 * min(1.0, 2.0 * most / max(1, rows))
         few = stored(texts.where(share & F.col("doc_id").isNotNull()), "free").join(known.select("doc_id"), "doc_id", "left_anti")
-        out = out.unionByName(bounded_sample(few.withColumn(label, F.lit(-1)), label, most).select("doc_id", "text", label))
+        out = out.unionByName(few.select("doc_id", "text", F.lit(-1).alias(label)))
     return out

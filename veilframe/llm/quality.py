@@ -24,7 +24,7 @@ from veilframe.llm import arrays
 from veilframe.llm.chars import labelled_sample
 from veilframe.session import ship
 
-SAMPLE, LONGEST = 700, 200_000
+SAMPLE, LONGEST = 700, 50_000
 WIDTH, FILTERS, CHUNK, STRIDE = 6, 16, 512, 448
 _CHUNKS = 64
 

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from veilframe.llm.chars import Words, labelled_sample, passing, text_slices
 from veilframe.session import ship
 
-SAMPLE, LONGEST = 2000, 200_000
+SAMPLE, LONGEST = 2000, 50_000
 # Insults of several languages, one plain list.
 LEXICON = tuple(
     """idiot moron stupid pathetic worthless disgusting scum trash loser clown dumb ugly imbecile filth vermin bastard coward cretin
@@ -58,38 +58,27 @@ class Model:
     pair_weights: np.ndarray
 
 
-def _features(words: list[str]) -> set[str]:
-    """Words, their beginnings (``abcd*``) and those of two different words (``abcd**``)."""
-    out = set(words)
-    for n in SIZES:
-        once: set[str] = set()
-        for w in words:
-            if len(w) >= n:
-                stem = f"{w[:n]}*"
-                if stem in once:
-                    out.add(f"{stem}*")
-                once.add(stem)
-        out |= once
-    return out
+def _distinct(words: Words, size: int, whole: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Beginnings of the words of one text, and those of two different words."""
+    long = words.length >= size
+    both = np.unique(np.stack([words.hashes(size)[long], whole[long]]), axis=1)[0]
+    once, count = np.unique(both, return_counts=True)
+    return once, once[count > 1]
 
 
-def _hash(features: list[str]) -> np.ndarray:
-    out = np.zeros(len(features), np.uint64)
-    for size in (None, *SIZES):
-        own = [i for i, f in enumerate(features) if (len(f.rstrip("*")) if f.endswith("*") else None) == size]
-        if own:
-            out[own] = Words([features[i].rstrip("*") for i in own]).hashes(size)
-    return out
+def features(text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of a text's words, of their beginnings and of the beginnings of two different words."""
+    words = Words([text])
+    whole = words.hashes()
+    found = [_distinct(words, n, whole) for n in SIZES]
+    return np.unique(whole), np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
 
 
 def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        bags = []
-        for t in batch.column("text").to_pylist():
-            words = Words([t])
-            low = words.codes.astype("<u4").tobytes().decode("utf-32-le", "surrogatepass")
-            bags.append(sorted({low[s : s + n] for s, n in zip(words.start.tolist(), words.length.tolist())}))
-        yield pa.record_batch({"toxic": batch.column("toxic"), "words": pa.array(bags, pa.list_(pa.string()))})
+        rows = [[x.tobytes() for x in features(t)] for t in batch.column("text").to_pylist()]
+        columns = {k: pa.array([r[i] for r in rows], pa.binary()) for i, k in enumerate(("words", "starts", "pairs"))}
+        yield pa.record_batch({"toxic": batch.column("toxic"), **columns})
 
 
 class Votes:
@@ -178,28 +167,39 @@ def _linear(votes: Votes, posterior: np.ndarray, used: np.ndarray, rounds: int =
     return w, float(b)
 
 
-def fit(bags: list[list[str]], given: np.ndarray) -> Model:
-    """Learns from the distinct words of texts; ``given`` is 1, 0 or -1 (not labelled)."""
-    ids: dict[str, int] = {f: i for i, f in enumerate(LEXICON)}
-    rows = [np.array(sorted({ids.setdefault(f, len(ids)) for f in _features(words)}), np.int64) for words in bags]
-    names, none = list(ids), np.zeros(0, np.uint64)
-    known = given[given >= 0]
+def fit(bags: list[tuple[np.ndarray, np.ndarray, np.ndarray]], given: np.ndarray) -> Model:
+    """Learns from the ``features`` of texts; ``given`` is 1, 0 or -1 (not labelled)."""
+    none, known = np.zeros(0, np.uint64), given[given >= 0]
     if not len(known) or known.min() == known.max():
         return Model(none, np.zeros(0), 4.0 if len(known) and known[0] else -4.0, none, np.zeros(0))
-    features = Votes(rows, len(names))
-    often = features.fired(np.ones(len(rows)))
-    stated = np.arange(len(names)) < len(LEXICON)
-    pattern = np.array([f.endswith("*") for f in names]) & (often >= RARE) & (often <= max(RARE, COMMON * len(rows)))
-    voter = np.flatnonzero(stated | pattern)
-    place = np.full(len(names), -1)
+    stated = Words(list(LEXICON)).hashes()
+    # Features of fewer than RARE texts tell nothing; counts in hash buckets, never too small, rule most of them out early.
+    often = np.zeros(_TABLE, np.int32)
+    for bag in bags:
+        for kind in bag:
+            np.add.at(often, (kind % np.uint64(_TABLE)).astype(np.int64), 1)
+    enough = lambda x: (often[(x % np.uint64(_TABLE)).astype(np.int64)] >= RARE) | np.isin(x, stated)
+    bags = [tuple(kind[enough(kind)] for kind in bag) for bag in bags]
+    names = [np.unique(np.concatenate([bag[k] for bag in bags])) for k in range(3)]
+    names[0] = np.union1d(names[0], stated)
+    base = np.cumsum([0, *map(len, names)])
+    kind = np.repeat(np.arange(3), np.diff(base))
+    rows = [np.concatenate([np.searchsorted(names[k], bag[k]) + base[k] for k in range(3)]) for bag in bags]
+    found = Votes(rows, int(base[3]))
+    count = found.fired(np.ones(len(rows)))
+    spoken = np.zeros(int(base[3]), bool)
+    spoken[np.searchsorted(names[0], stated)] = True
+    pattern = (kind > 0) & (count >= RARE) & (count <= max(RARE, COMMON * len(rows)))
+    voter = np.flatnonzero(spoken | pattern)
+    place = np.full(len(kind), -1)
     place[voter] = np.arange(len(voter))
     votes = Votes([place[r][place[r] >= 0] for r in rows], len(voter))
-    spoken = votes.total(stated[voter].astype(float)) > 0
-    first = np.where(given >= 0, np.where(given == 1, 0.95, 0.02), np.where(spoken, 0.9, np.nan))
+    rude = votes.total(spoken[voter].astype(float)) > 0
+    first = np.where(given >= 0, np.where(given == 1, 0.95, 0.02), np.where(rude, 0.9, np.nan))
     posterior, *_ = label_model(votes, given, first)
-    used = np.unique(np.concatenate([np.arange(len(LEXICON)), _telling(features, posterior, 5.0, 8.0)]))
-    w, b = _linear(features, posterior, used)
-    hashes, pair = _hash([names[i] for i in used]), np.array([names[i].endswith("**") for i in used])
+    used = np.unique(np.concatenate([np.flatnonzero(spoken), _telling(found, posterior, 5.0, 8.0)]))
+    w, b = _linear(found, posterior, used)
+    hashes, pair = np.concatenate(names)[used], kind[used] == 2
     parts = []
     for own in (~pair, pair):
         order = np.argsort(hashes[own])
@@ -211,11 +211,11 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE) -> Model:
     """Learns from ``docs(doc_id, text)`` and ``labels(doc_id, toxic)``; documents without a label are learned from too."""
     ship(docs.sparkSession)
     rows = labelled_sample(docs, labels, "toxic", per_class, LONGEST, unlabelled=True)
-    sample = rows.select("toxic", "text").mapInArrow(_bags, "toxic int, words array<string>").orderBy("toxic", "words")
+    sample = rows.select("toxic", "text").mapInArrow(_bags, "toxic int, words binary, starts binary, pairs binary").orderBy("toxic", "words", "starts")
     given, bags = [], []
     for row in sample.toLocalIterator():  # a partition at a time
         given.append(row["toxic"])
-        bags.append(row["words"])
+        bags.append(tuple(np.frombuffer(bytes(row[k]), np.uint64) for k in ("words", "starts", "pairs")))
     return fit(bags, np.array(given, np.int64))
 
 
