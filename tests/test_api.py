@@ -84,7 +84,7 @@ def test_allowlist_and_exclusions(spark):
 
 
 def test_columns(spark):
-    rows = spark.createDataFrame([("  Prova ", "PERSONA"), ("x", "PERSONA"), ("Alfa", None)], "t string, k string")
+    rows = spark.createDataFrame([("  Prova ", "PERSON"), ("x", "PERSON"), ("Alfa", None)], "t string, k string")
     got = [r.s for r in rows.select(lookup.column_spans(F.col("t"), F.col("k")).alias("s")).collect()]
     assert [[(s.start, s.end, s.text, s.case_sensitive) for s in x] for x in got] == [[(2, 7, "Prova", True)], [], []]
 

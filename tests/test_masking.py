@@ -1,5 +1,7 @@
+import pytest
 from pyspark.sql import functions as F
 
+from veilframe.functions.spans import spliced
 from veilframe.operators import masking
 from veilframe.operators.rules import BY_SOURCE
 
@@ -9,10 +11,10 @@ TEXTS = [(1, "da a.b@x.it a c.d@x.it, tel +44 20 7946 0958"), (2, "ancora a.b@x.
 
 def test_mask_and_restore(spark):
     docs = spark.createDataFrame(TEXTS, "doc_id int, text string")
-    spans = masking.spans_of(masking.find(docs, RULES))
-    mapping = masking.number(spans)
+    found = masking.find(docs, RULES)
+    mapping = masking.number(masking.spans_of(found))
     assert {(r.kind, r.number, r.value) for r in mapping.collect()} == {("EMAIL", 1, "a.b@x.it"), ("EMAIL", 2, "c.d@x.it"), ("TELEFONO", 1, "+44 20 7946 0958")}
-    masked = masking.apply(docs, spans, mapping)
+    masked = masking.apply(found, mapping)
     assert {r.doc_id: r.masked for r in masked.collect()} == {1: "da [EMAIL_1] a [EMAIL_2], tel [TELEFONO_1]", 2: "ancora [EMAIL_1]", 3: None, 4: "niente"}
     back = masking.restore(masked, mapping)
     assert {r.doc_id: r.restored for r in back.collect()} == dict(TEXTS)
@@ -47,3 +49,30 @@ def test_headers_and_allowlist(spark):
     spans = spark.createDataFrame([(1, "Caffè"), (2, "Altro")], "doc_id int, text string")
     allow = spark.createDataFrame([("CAFFE",)], "value string")
     assert [r.doc_id for r in masking.drop_allowed(spans, allow).collect()] == [2]
+
+
+def test_null_repeated_and_clashing_keys(spark):
+    texts = [(None, "a.b@x.it"), (None, "zz"), (1, "zz"), (1, "say c.d@x.it"), (1, "say c.d@x.it"), (2, None), (None, None), (3, "")]
+    docs = spark.createDataFrame(texts, "doc_id int, text string")
+    found = masking.find(docs, RULES)
+    mapping = masking.number(masking.spans_of(found))
+    masked = masking.apply(found, mapping)
+    got = sorted(((r.doc_id, r.masked) for r in masked.collect()), key=str)
+    place = {r.value: f"[EMAIL_{r.number}]" for r in mapping.collect()}
+    assert got == sorted([(i, t if t is None else t.replace("a.b@x.it", place["a.b@x.it"]).replace("c.d@x.it", place["c.d@x.it"])) for i, t in texts], key=str)
+    assert masking.leaks(masked).count() == 0 and masking.leaks(docs.withColumnRenamed("text", "masked")).count() == 3
+    back = masking.restore(masked, mapping)
+    assert sorted(((r.doc_id, r.restored) for r in back.collect()), key=str) == sorted(texts, key=str)
+
+
+def test_overlapping_edits_are_refused():
+    assert spliced("abcdef", [(4, 6, "Z"), (0, 2, "Y")]) == "YcdZ"
+    with pytest.raises(ValueError):
+        spliced("abcdef", [(0, 3, "Y"), (2, 4, "Z")])
+
+
+def test_many_matches_of_one_text(spark):
+    text = " ".join(f"u{k}@x.it" for k in range(3000))
+    found = masking.find(spark.createDataFrame([(1, text)], "doc_id int, text string"), (BY_SOURCE["email"],))
+    rows = masking.spans_of(found).collect()
+    assert len(rows) == 3000 and all(text[r.start : r.end] == r.text for r in rows)

@@ -54,6 +54,12 @@ def test_iban(spark):
     assert [s["text"] for s in got] == [spaced]
 
 
+def test_a_wrong_iban_hides_none_behind_it(spark):
+    text = "AT12 DE89370400440532013000 e it60 x0542811101000000123456"
+    got = spark.createDataFrame([(text,)], "text string").select(BY_SOURCE["iban"].spans(F.col("text")).alias("s")).first()["s"]
+    assert [(s["start"], s["text"]) for s in got] == [(5, "DE89370400440532013000"), (30, text[30:])]
+
+
 def test_vat_and_tax_code(spark):
     row = spark.range(1).select(checksums.is_vat(F.lit("12345678903")), checksums.is_vat(F.lit("12345678904")), checksums.cf_check_letter(F.lit("RSSMRA85T10A562")), checksums.is_cf(F.lit("rssmra85t10a562s"))).first()
     assert tuple(row) == (True, False, "S", True)
@@ -90,7 +96,7 @@ def test_resolution_matches_brute_force(seed):
 
 def test_remainder_and_merge():
     text = "Lia Prova di Officine S.r.l."
-    person = {"start": 0, "end": len(text), "text": text, "kind": "PERSONA", "priority": 40, "reason": "", "source": "a", "case_sensitive": False}
+    person = {"start": 0, "end": len(text), "text": text, "kind": "PERSON", "priority": 40, "reason": "", "source": "a", "case_sensitive": False}
     firm = {"start": 13, "end": 28, "text": text[13:], "kind": "AZIENDA", "priority": 50, "reason": "", "source": "b", "case_sensitive": False}
     assert [s["text"] for s in resolve_spans([person, firm])] == ["Lia Prova", "Officine S.r.l."]
     two = [person | {"start": 0, "end": 3, "text": "Lia"}, person | {"start": 4, "end": 9, "text": "Prova", "source": "c"}]

@@ -5,12 +5,13 @@ from __future__ import annotations
 from collections.abc import Iterable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veilframe.functions import words as W
 from veilframe.functions.spans import NONE, fold
 from veilframe.operators import lookup, masking
+from veilframe.operators.masking import ROW
 from veilframe.operators.names import name_spans, trimmed
 from veilframe.operators.resolve import resolve
 from veilframe.operators.rules import RULES, Rule, detect
@@ -24,14 +25,14 @@ class Masked:
     spans: DataFrame  # key and the fields of a span
 
 
-def _kept(found: DataFrame, allowlist: DataFrame | None, key: str) -> DataFrame:
+def _kept(found: DataFrame, allowlist: DataFrame | None) -> DataFrame:
     """``found`` without the spans whose folded text is on the list."""
     if allowlist is None:
         return found
-    rows = masking.drop_allowed(found.select(key, F.posexplode("spans").alias("_i", "s")).select(key, "_i", "s.*"), allowlist)
-    fields = [f for f in rows.columns if f not in (key, "_i")]
-    again = rows.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("_i", F.struct(*fields).alias("s")))).alias("_s"))
-    joined = found.drop("spans").join(again, key, "left")
+    rows = masking.drop_allowed(found.select(ROW, F.posexplode("spans").alias("_i", "s")).select(ROW, "_i", "s.*"), allowlist)
+    fields = [f for f in rows.columns if f not in (ROW, "_i")]
+    again = rows.groupBy(ROW).agg(F.array_sort(F.collect_list(F.struct("_i", F.struct(*fields).alias("s")))).alias("_s"))
+    joined = found.drop("spans").join(again, ROW, "left")
     return joined.withColumn("spans", F.coalesce(F.transform("_s", lambda x: x["s"]), F.expr(NONE))).drop("_s")
 
 
@@ -41,9 +42,16 @@ def analyze(
 ) -> DataFrame:
     """``docs`` with ``spans``: disjoint spans in order, each text searched for what any text has shown.
 
-    An optional column ``column_kind`` names the kind of a whole cell.  Detection is written out
-    once: everything after reads it three times.
+    An optional column ``column_kind`` names the kind of a whole cell.  Keys may be null or
+    repeat.  Detection is written out once: everything after reads it three times.
     """
+    return _analyze(masking.rows_of(docs), mapping, glossary, allowlist, rules, first_names, propagate, key, text).drop(ROW)
+
+
+def _analyze(
+    docs: DataFrame, mapping: DataFrame | None = None, glossary: DataFrame | None = None, allowlist: DataFrame | None = None, rules: tuple[Rule, ...] = RULES,
+    first_names: Iterable[str] | None = W.FIRST_NAMES, propagate: bool = True, key: str = "doc_id", text: str = "text",
+) -> DataFrame:
     parts = [trimmed(detect(F.col(text), rules))]
     if first_names is not None:
         parts.append(name_spans(F.col(text), first_names))
@@ -51,25 +59,25 @@ def analyze(
         parts.insert(0, lookup.column_spans(F.col(text), F.col("column_kind")))
     found = docs.withColumn("spans", F.coalesce(F.concat(*parts), F.expr(NONE)))
     if glossary is not None:
-        found = lookup.add_found(found, lookup.occurrences(docs, lookup.glossary_needles(glossary), key, text), key)
-    found = _kept(found, allowlist, key)
+        found = lookup.add_found(found, lookup.occurrences(docs, lookup.glossary_needles(glossary), ROW, text), ROW)
+    found = _kept(found, allowlist)
     if propagate:
         found = stored(found, "found")
         own = masking.spans_of(found, key)
         needles = lookup.union([lookup.known_needles(own, mapping, key), lookup.alias_needles(own)])
-        found = _kept(lookup.add_found(found, lookup.occurrences(docs, needles, key, text), key), allowlist, key)
+        found = _kept(lookup.add_found(found, lookup.occurrences(docs, needles, ROW, text), ROW), allowlist)
     return found.withColumn("spans", resolve(F.col(text), F.col("spans")))
 
 
 def anonymize(docs: DataFrame, mapping: DataFrame | None = None, key: str = "doc_id", text: str = "text", exclude: Iterable[str] = (), **options) -> Masked:
     """Masks every text; values new to ``mapping`` are numbered on from it.  ``exclude`` stays as it is."""
-    found = stored(analyze(docs, mapping, key=key, text=text, **options), "spans")
-    spans = masking.spans_of(found, key)
+    found = stored(_analyze(masking.rows_of(docs), mapping, key=key, text=text, **options), "spans")
     left = list(exclude)
     if left:
-        spans = spans.where(~F.col("text").isin(left))
+        found = found.withColumn("spans", F.filter("spans", lambda s: ~s["text"].isin(left)))
+    spans = masking.spans_of(found, key)
     grown = stored(masking.number(spans, mapping, key), "mapping")
-    return Masked(masking.apply(docs, spans, grown, key, text), grown, spans)
+    return Masked(masking.apply(found, grown, key, text), grown, spans)
 
 
 def restore(docs: DataFrame, mapping: DataFrame, key: str = "doc_id", text: str = "masked") -> DataFrame:
@@ -84,10 +92,11 @@ def verify(
 
     Stored values come first, then glossary terms, then rules.
     """
+    masked = masking.rows_of(masked)
     body = F.col(text)
     parts = [trimmed(detect(body, rules))] + ([name_spans(body, first_names)] if first_names is not None else [])
-    found = masked.select(key, F.explode(F.concat(*parts)).alias("s")).select(key, "s.*")
-    rows = [found.select(key, "start", "end", "text", F.lit(2).alias("_turn"), F.concat(F.lit("detected "), "kind", F.lit(" ("), "source", F.lit(")")).alias("reason"))]
+    found = masked.select(ROW, F.explode(F.concat(*parts)).alias("s")).select(ROW, "s.*")
+    rows = [found.select(ROW, "start", "end", "text", F.lit(2).alias("_turn"), F.concat(F.lit("detected "), "kind", F.lit(" ("), "source", F.lit(")")).alias("reason"))]
     named = []
     if mapping is not None:
         name = F.concat(F.lit("known value "), masking.placeholder(F.col("kind"), F.col("number")))
@@ -95,14 +104,14 @@ def verify(
     if glossary is not None:
         named.append(lookup.glossary_needles(glossary.withColumn("kind", F.lit(""))).join(_terms(glossary), "value").select("value", "kind", F.col("_term").alias("source"), F.lit(0).alias("priority"), "case_sensitive"))
     if named:
-        hits = lookup.occurrences(masked, lookup.union(named), key, text).select(key, F.explode("found").alias("s")).select(key, "s.*")
-        rows.append(hits.select(key, "start", "end", "text", (1 - F.col("priority")).alias("_turn"), F.col("source").alias("reason")))
+        hits = lookup.occurrences(masked, lookup.union(named), ROW, text).select(ROW, F.explode("found").alias("s")).select(ROW, "s.*")
+        rows.append(hits.select(ROW, "start", "end", "text", (1 - F.col("priority")).alias("_turn"), F.col("source").alias("reason")))
     out = lookup.union(rows)
     for skipped in (allowlist, accepted):
         if skipped is not None:
             out = masking.drop_allowed(out, skipped)
-    w = Window.partitionBy(key, "start", "end").orderBy("_turn", "reason")
-    return out.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n", "_turn")
+    one = out.groupBy(ROW, "start", "end").agg(F.min(F.struct("_turn", "reason", "text")).alias("f"))
+    return masked.select(ROW, key).join(one, ROW).select(key, "start", "end", "f.text", "f.reason")
 
 
 def _terms(glossary: DataFrame) -> DataFrame:

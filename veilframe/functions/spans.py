@@ -7,9 +7,15 @@ give each match's place in code points.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+import re
+import unicodedata
+
+import pandas as pd
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
+from veilframe.session import ship
+
 SPAN = "struct<start:int,end:int,kind:string,text:string,source:string,priority:int,approved:boolean,case_sensitive:boolean,reason:string>"
 NONE = f"cast(array() as array<{SPAN}>)"
 
@@ -22,52 +28,71 @@ def span(start: Column, value: Column, kind: Column | str, source: str, priority
     ).cast(SPAN)
 
 
-def matches(text: Column, prefix: str, value: str, follows: str = "") -> Column:
-    """``array<struct<start, text>>`` of ``value`` after ``prefix``; matches are never empty."""
-    pattern = F.lit(f"({prefix})({value}){follows}")
-    whole, lead = (F.regexp_extract_all(text, pattern, F.lit(g)) for g in (0, 1))
-    gaps = F.split(text, pattern, -1)
-    item = F.regexp_extract_all(text, pattern, F.lit(2))
-    parts = F.transform(whole, lambda w, i: F.struct(F.length(F.get(gaps, i)).alias("gap"), F.length(w).alias("size"), F.length(F.get(lead, i)).alias("lead"), F.get(item, i).alias("text")))
+_LOOK_BEHIND = re.compile(r"(\(\?<[!=][^()]*\))?")
+
+
+def matches(text: Column, prefix: str, value: str, follows: str = "", consumed: str = "") -> Column:
+    """``array<struct<start, text>>`` of ``value`` after ``prefix``; matches are never empty.
+
+    With ``consumed`` a match uses up only that much of its value and the search goes on behind
+    it.  Each pass over the text is an argument of its own, outside any lambda, so it is made
+    once however many matches there are.
+    """
+    pattern = F.lit(f"({prefix})(?=({value}){follows}){consumed}" if consumed else f"({prefix})({value}){follows}")
+    bare = bool(_LOOK_BEHIND.fullmatch(prefix))  # nothing lies between the gap and the value
+    whole = F.regexp_extract_all(text, pattern, F.lit(0))
+    item = whole if bare and not consumed else F.regexp_extract_all(text, pattern, F.lit(2))
+    gaps = F.transform(F.split(text, pattern, -1), F.length)
+    columns = [whole, gaps] if item is whole else [whole, gaps, item]
+    if not bare:
+        columns.append(F.transform(F.regexp_extract_all(text, pattern, F.lit(1)), F.length))
+    parts = F.filter(F.arrays_zip(*columns), lambda p: p["0"].isNotNull())
     start = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<struct<start:int,text:string>>)").alias("out"))
-    walk = F.aggregate(
+    lead = (lambda p: F.lit(0)) if bare else (lambda p: p[str(len(columns) - 1)])
+    own = "0" if item is whole else "2"
+    return F.aggregate(
         parts, start,
-        lambda acc, p: F.struct((acc["at"] + p["gap"] + p["size"]).alias("at"), F.array_append(acc["out"], F.struct((acc["at"] + p["gap"] + p["lead"]).cast("int").alias("start"), p["text"].alias("text"))).alias("out")),
+        lambda acc, p: F.struct((acc["at"] + p["1"] + F.length(p["0"])).alias("at"), F.array_append(acc["out"], F.struct((acc["at"] + p["1"] + lead(p)).cast("int").alias("start"), p[own].alias("text"))).alias("out")),
         lambda acc: acc["out"],
     )
-    return walk
+
+
+def spliced(text: str, edits: list[tuple[int, int, str]]) -> str:
+    """``text`` with each edit (start, end, text) put in place; edits that overlap are refused."""
+    out, at = [], 0
+    for start, end, new in sorted(edits):
+        if start < at:
+            raise ValueError(f"edits overlap at {start}")
+        out += (text[at:start], new)
+        at = end
+    return "".join([*out, text[at:]])
+
+
+def _splice(texts: pd.Series, edits: pd.Series) -> pd.Series:
+    return pd.Series([t if t is None or e is None else spliced(t, [(x["start"], x["end"], x["text"]) for x in e]) for t, e in zip(texts, edits)])
 
 
 def splice(text: Column, edits: Column) -> Column:
-    """``text`` with each of the disjoint ``edits`` (start, end, text) put in place."""
-    ordered = F.array_sort(edits)
-    begin = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
-    return F.aggregate(
-        ordered, begin,
-        lambda acc, e: F.struct(F.concat(acc["out"], F.substr(text, acc["at"] + 1, F.greatest(e["start"] - acc["at"], F.lit(0))), e["text"]).alias("out"), e["end"].alias("at")),
-        lambda acc: F.concat(acc["out"], F.substr(text, acc["at"] + 1)),
-    )
+    """``text`` with each of ``edits`` (start, end, text) put in place, in one pass; overlapping edits fail the query."""
+    ship(SparkSession.active())
+    return F.pandas_udf(_splice, "string")(text, edits)
 
 
-def overlapping(edits: Column) -> Column:
-    """Whether two of the edits overlap, which a splice must refuse."""
-    ordered = F.array_sort(edits)
-    return F.exists(F.transform(ordered, lambda e, i: (i > 0) & (e["start"] < F.get(ordered, i - 1)["end"])), lambda x: F.coalesce(x, F.lit(False)))
+#: Accented letters of Latin scripts with one base letter, by Unicode's own decompositions.
+_ACCENTED = {c: b for c in map(chr, range(0xC0, 0x250)) if c == c.lower() and len(b := "".join(d for d in unicodedata.normalize("NFD", c) if unicodedata.category(d) != "Mn")) == 1 and b != c}
 
 
 def fold(text: Column) -> Column:
     """Lower case without the accents of Latin letters; one character stays one character."""
-    # Accented Latin letters and their bases.
-    accented = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ"
-    plain = "aaaaaaceeeeiiiinooooouuuuyy"
-    return F.translate(F.lower(text), accented, plain)
+    return F.translate(F.lower(text), "".join(_ACCENTED), "".join(_ACCENTED.values()))
 
 
 def without(spans: Column, others: Column) -> Column:
-    """``spans`` but for those whose place one of ``others`` has.
-
-    No lambda within a lambda: Spark does not move a Python function out of a projection when
-    its argument holds one.
-    """
-    places = F.transform(others, lambda t: F.concat_ws(":", t["start"], t["end"]))
-    return F.filter(spans, lambda s: ~F.array_contains(places, F.concat_ws(":", s["start"], s["end"])))
+    """``spans`` but for those whose place one of ``others`` has; places are listed once."""
+    key = lambda s: F.concat_ws(":", s["start"], s["end"])
+    begin = F.struct(F.transform(others, key).alias("places"), F.expr(NONE).alias("out"))
+    return F.aggregate(
+        spans, begin,
+        lambda acc, s: F.struct(acc["places"].alias("places"), F.when(F.array_contains(acc["places"], key(s)), acc["out"]).otherwise(F.array_append(acc["out"], s)).alias("out")),
+        lambda acc: acc["out"],
+    )

@@ -2,23 +2,36 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veilframe.functions.spans import fold, matches, splice
 from veilframe.operators.rules import KINDS, RULES, Rule, detect
-from veilframe.session import stored
+from veilframe.session import ship, stored
 
 MAPPING = "kind string, number bigint, value string, case_sensitive boolean"
 
 
+#: A number of its own for every row.  Users' keys may be null or repeat, so nothing is ever joined back by them.
+ROW = "_veilframe_row"
+
+
+def rows_of(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``ROW``, written out, so that a row keeps its number however often it is read."""
+    ship(docs.sparkSession)
+    return docs if ROW in docs.columns else stored(docs.withColumn(ROW, F.monotonically_increasing_id()), "rows")
+
+
 def find(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text") -> DataFrame:
     return docs.withColumn("spans", detect(F.col(text), rules))
 
 
-def spans_of(found: DataFrame, key: str = "doc_id") -> DataFrame:
+def spans_of(found: DataFrame, *keys: str) -> DataFrame:
     """One row per approved span."""
-    return found.select(key, F.explode("spans").alias("s")).select(key, "s.*").where("approved")
+    keys = keys or ("doc_id",)
+    return found.select(*keys, F.explode("spans").alias("s")).select(*keys, "s.*").where("approved")
 
 
 def drop_allowed(spans: DataFrame, allowlist: DataFrame) -> DataFrame:
@@ -55,57 +68,54 @@ def placeholder(kind: Column, number_: Column) -> Column:
     return F.concat(F.lit("["), kind, F.lit("_"), number_.cast("string"), F.lit("]"))
 
 
-def apply(docs: DataFrame, spans: DataFrame, mapping: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``key, masked``: every span replaced by its placeholder."""
-    named = spans.select(key, "start", "end", F.col("text").alias("value")).join(mapping.select("value", "kind", "number"), "value")
-    edits = named.groupBy(key).agg(F.collect_list(F.struct("start", "end", placeholder(F.col("kind"), F.col("number")).alias("text"))).alias("edits"))
-    out = docs.select(key, text).join(edits, key, "left")
-    return out.select(key, F.when(F.col("edits").isNull(), F.col(text)).otherwise(splice(F.col(text), F.col("edits"))).alias("masked"))
+def apply(found: DataFrame, mapping: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``key, masked``: every approved span of ``found(key, text, spans)`` replaced by its placeholder.
+
+    Rows are told apart by ``ROW``: null, repeated and clashing keys are masked each by its own
+    spans.  Spans meet the mapping by value; a value that very many spans share is split by
+    Spark's skew join.
+    """
+    found = rows_of(found.select(*([ROW] if ROW in found.columns else []), key, text, "spans"))
+    named = spans_of(found, ROW).select(ROW, "start", "end", F.col("text").alias("value")).join(mapping.select("value", "kind", "number"), "value")
+    edits = named.groupBy(ROW).agg(F.collect_list(F.struct("start", "end", placeholder(F.col("kind"), F.col("number")).alias("text"))).alias("edits"))
+    return found.join(edits, ROW, "left").select(key, splice(F.col(text), F.col("edits")).alias("masked"))
 
 
-# Brackets and separators that a placeholder may have been rewritten with.
-_TOKEN = rf"(?iu:(?:(?:\\?[\[({{<【])|(?<![A-Za-z0-9]))(?:{'|'.join(KINDS)})(?:\\?_|[ \t\-]+)\d+(?:\\?[\])}}>】])?)"
+# Brackets that a placeholder may have been rewritten with, and what may part its kind from its number.
+OPENING, CLOSING, PARTED = "[({<【", "])}>】", r"(?:\\?_|[ \t\-]+)"
+_KIND = "|".join(KINDS)
+#: Bracketed in any case, each bracket perhaps escaped; or bare, as written, and no part of a longer word.
+_TOKEN = rf"(?iu:\\?[{re.escape(OPENING)}](?:{_KIND}){PARTED}\d+\\?[{re.escape(CLOSING)}])|(?<![A-Za-z0-9])(?:{_KIND})_\d+(?![\p{{L}}\p{{N}}_])"
 
 
 def references(text: Column) -> Column:
     """Placeholder-looking tokens: ``array<struct<start, end, raw, kind, number, exact>>``.
 
-    A bracket on one side only does not count as part of the token; without brackets only the
-    upper-case form with an underscore, not followed by a word character, is one.
+    A bracket on one side only is no part of the token.
     """
-    opened, closed = r"^\\?[\[({<【]", r"\\?[\])}>】]$"
+
     def read(m: Column) -> Column:
         raw = m["text"]
-        both = raw.rlike(opened) & raw.rlike(closed)
-        bare = F.regexp_replace(F.regexp_replace(raw, opened, ""), closed, "")
-        own = F.when(both, raw).otherwise(bare)
-        lead = F.when(both, 0).otherwise(F.length(F.regexp_extract(raw, opened, 0)))
-        start = m["start"] + lead
-        end = start + F.length(own)
-        kind = F.upper(F.regexp_extract(bare, "^[A-Za-z]+", 0))
-        digits = F.regexp_extract(bare, r"\d+$", 0).cast("bigint")
-        after = F.substr(text, end + 1, F.lit(1))
-        ok = both | (bare.rlike(r"^[A-Z]+_\d+$") & ~after.rlike(r"[\p{L}\p{N}_]"))
-        exact = own == placeholder(kind, digits)
-        return F.struct(start.cast("int").alias("start"), end.cast("int").alias("end"), own.alias("raw"), kind.alias("kind"), digits.alias("number"), exact.alias("exact"), ok.alias("ok"))
-    return F.filter(F.transform(matches(text, "", _TOKEN), read), lambda r: r["ok"])
+        kind, digits = F.upper(F.regexp_extract(raw, "[A-Za-z]+", 0)), F.regexp_extract(raw, r"\d+", 0).cast("bigint")
+        return F.struct(m["start"].alias("start"), (m["start"] + F.length(raw)).cast("int").alias("end"), raw.alias("raw"), kind.alias("kind"), digits.alias("number"), (raw == placeholder(kind, digits)).alias("exact"))
+
+    return F.when(text.rlike(rf"(?iu)(?:{_KIND})\\?[_ \t\-]"), F.transform(matches(text, "", _TOKEN), read))
 
 
 def restore(docs: DataFrame, mapping: DataFrame, key: str = "doc_id", text: str = "masked") -> DataFrame:
     """``key, restored, found, altered, invented``: placeholders put back by (kind, number)."""
-    refs = docs.select(key, F.explode(references(F.col(text))).alias("r")).select(key, "r.*")
+    rows = rows_of(docs.select(*([ROW] if ROW in docs.columns else []), key, text))
+    refs = rows.select(ROW, F.explode(references(F.col(text))).alias("r")).select(ROW, "r.*")
     known = refs.join(mapping.select("kind", "number", "value"), ["kind", "number"], "left")
     hit = F.col("value").isNotNull()
     canonical = placeholder(F.col("kind"), F.col("number"))
-    per = known.groupBy(key).agg(
+    per = known.groupBy(ROW).agg(
         F.collect_list(F.when(hit, F.struct("start", "end", F.col("value").alias("text")))).alias("edits"),
         F.array_sort(F.collect_list(F.when(hit, canonical))).alias("found"),
         F.array_sort(F.collect_list(F.when(hit & ~F.col("exact"), F.struct(F.col("raw"), canonical.alias("canonical"))))).alias("altered"),
         F.array_sort(F.collect_list(F.when(~hit, F.col("raw")))).alias("invented"),
     )
-    out = docs.select(key, text).join(per, key, "left")
-    restored = F.when(F.col("edits").isNull(), F.col(text)).otherwise(splice(F.col(text), F.col("edits")))
-    return out.select(key, restored.alias("restored"), "found", "altered", "invented")
+    return rows.join(per, ROW, "left").select(key, splice(F.col(text), F.col("edits")).alias("restored"), "found", "altered", "invented")
 
 
 def missing(expected: Column, found: Column) -> Column:
@@ -115,19 +125,19 @@ def missing(expected: Column, found: Column) -> Column:
 
 def leaks(masked: DataFrame, accepted: DataFrame | None = None, key: str = "doc_id", text: str = "masked") -> DataFrame:
     """What the rules still find in text about to be shared: first reason per place."""
-    spans = spans_of(find(masked, text=text), key)
-    rows = spans.select(key, "start", "end", "text", F.concat(F.lit("detected "), "kind", F.lit(" ("), "source", F.lit(")")).alias("reason"))
+    rows = rows_of(masked.select(*([ROW] if ROW in masked.columns else []), key, text))
+    spans = spans_of(find(rows, text=text), ROW, key)
+    seen = spans.select(ROW, key, "start", "end", "text", F.concat(F.lit("detected "), "kind", F.lit(" ("), "source", F.lit(")")).alias("reason"))
     if accepted is not None:
-        rows = drop_allowed(rows, accepted)
-    w = Window.partitionBy(key, "start", "end").orderBy("reason")
-    return rows.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
+        seen = drop_allowed(seen, accepted)
+    return seen.groupBy(ROW, key, "start", "end", "text").agg(F.min("reason").alias("reason")).drop(ROW)
 
 
 def header_kind(label: Column) -> Column:
     """Kind of the values under a column title, null if the title is not a known one."""
     # Titles by kind.
     titles = {
-        "PERSONA": "nome|cognome|nome e cognome|cognome e nome|nome cognome|cognome nome|nominativo|name|first name|last name|surname|full name|given name|family name",
+        "PERSON": "nome|cognome|nome e cognome|cognome e nome|nome cognome|cognome nome|nominativo|name|first name|last name|surname|full name|given name|family name",
         "AZIENDA": "cliente|customer|client|ragione sociale|company|company name",
         "EMAIL": "email|e mail|mail|pec|indirizzo email|indirizzo e mail|email address|e mail address",
         "TELEFONO": "telefono|tel|cellulare|cell|numero di telefono|phone|telephone|mobile|phone number",
@@ -144,9 +154,13 @@ def header_kind(label: Column) -> Column:
 
 def review_groups(found: DataFrame, key: str = "doc_id") -> DataFrame:
     """Distinct (kind, text) with count, sources and the first two contexts."""
-    rows = found.select(key, F.col("text").alias("body"), F.explode("spans").alias("s")).select(key, "body", "s.*")
-    before = F.substr("body", F.greatest(F.col("start") - 31, F.lit(1)), F.least(F.col("start"), F.lit(32)))
-    context = F.concat(F.lit("…"), F.replace(before, F.lit("\n"), F.lit(" ")), F.lit("«"), "text", F.lit("»"), F.replace(F.substr("body", F.col("end") + 1, F.lit(32)), F.lit("\n"), F.lit(" ")), F.lit("…"))
-    w = Window.partitionBy("kind", "text").orderBy(key, "start")
-    rows = rows.withColumn("context", context).withColumn("n", F.row_number().over(w))
-    return rows.groupBy("kind", "text").agg(F.count("*").alias("count"), F.array_sort(F.collect_set("source")).alias("sources"), F.array_sort(F.collect_list(F.when(F.col("n") <= 2, F.col("context")))).alias("contexts"))
+    spot = lambda s: F.concat(
+        F.lit("…"), F.replace(F.substr("text", F.greatest(s["start"] - 31, F.lit(1)), F.least(s["start"], F.lit(32))), F.lit("\n"), F.lit(" ")), F.lit("«"), s["text"], F.lit("»"),
+        F.replace(F.substr("text", s["end"] + 1, F.lit(32)), F.lit("\n"), F.lit(" ")), F.lit("…"),
+    )
+    cut = F.transform("spans", lambda s: F.struct(s["kind"].alias("kind"), s["text"].alias("text"), s["start"].alias("start"), s["source"].alias("source"), spot(s).alias("context")))
+    rows = found.select(key, F.explode(cut).alias("s")).select(key, "s.*")  # only the surroundings travel
+    counts = rows.groupBy("kind", "text").agg(F.count("*").alias("count"), F.array_sort(F.collect_set("source")).alias("sources"))
+    w = Window.partitionBy("kind", "text").orderBy(key, "start", "context")
+    first = rows.withColumn("n", F.row_number().over(w)).where("n <= 2").groupBy("kind", "text").agg(F.array_sort(F.collect_list(F.struct("n", "context"))).alias("c"))
+    return counts.join(first, ["kind", "text"]).select("kind", "text", "count", "sources", F.transform("c", lambda x: x["context"]).alias("contexts"))

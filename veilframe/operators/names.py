@@ -1,8 +1,9 @@
 """People named by a known first name, and the trimming of names and companies at stop words.
 
-A run of capitalised words is read from left to right: given names, then surnames, or a surname
-before the given name.  That state machine has no native form, so it is one Arrow-fed function;
-texts without two capitalised words in a row never reach it.
+Every word of a run of capitalised words gets a class, and one pattern over the classes finds
+the names: given names and then surnames, or a surname before the given name.  Classes need a
+word list of any size, so it is one Arrow-fed function; texts without two capitalised words in
+a row never reach it.
 """
 
 from __future__ import annotations
@@ -11,25 +12,30 @@ import re
 from collections.abc import Iterable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 from veilframe.functions import words as W
 from veilframe.functions.folding import folded
 from veilframe.functions.spans import NONE, SPAN
 from veilframe.operators.rules import HEURISTIC, LOW, UP
+from veilframe.session import ship
 
 _PUNCTUATION = ".,;:'’"
 _WORD = rf"[{UP}][{UP}{LOW}'’\-]+"
 _PARTICLE = "|".join(sorted(W.PARTICLES, key=lambda w: (-len(w), w)))
 # Fixed value: the shape of a run of capitalised words, with particles between them.
 RUN = re.compile(rf"(?<!\w){_WORD}(?:[ \t]+(?:(?:{_PARTICLE})[ \t]+)?{_WORD})+")
-_LONGEST = 4  # words of one name
 _NO_LEAD = W.NOT_LEADING | W.NOT_SURNAMES | W.AFTER_NAMES | W.PARTICLES | W.BEFORE_COMPANIES
+_STOPS = W.AFTER_NAMES | W.NOT_SURNAMES
+# Classes: f first name, g first name behind a particle (a surname there), l may be a surname before its first name,
+# s any other word, x a word that ends a name.  A name has at most four words.
+_FULL = "[fg](?:[slg]{1,3}|f[slg]{1,2}|ff[slg])"
+_NAMES = re.compile(f"(?P<ahead>l(?!{_FULL})[fg]f{{0,3}})|(?P<full>{_FULL})|[fg]f{{0,3}}")
 
 
 def _found(start: int, text: str, source: str) -> dict:
-    return {"start": start, "end": start + len(text), "kind": "PERSONA", "text": text, "source": source, "priority": HEURISTIC, "approved": True, "case_sensitive": False, "reason": ""}
+    return {"start": start, "end": start + len(text), "kind": "PERSON", "text": text, "source": source, "priority": HEURISTIC, "approved": True, "case_sensitive": False, "reason": ""}
 
 
 class NameReader:
@@ -46,38 +52,27 @@ class NameReader:
         bare = word.strip(_PUNCTUATION)
         return len(bare) >= 3 and bare[0].isupper() and not self.is_first(bare) and bare.lower() not in _NO_LEAD
 
-    def _stretch(self, words: list[str]) -> tuple[int, bool]:
-        """How many of ``words``, the first being a first name, belong to it; whether one is a surname."""
-        surname = False
-        for n, (before, word) in enumerate(zip(words, words[1:_LONGEST]), start=1):
-            if word.lower().strip(".,") in W.AFTER_NAMES | W.NOT_SURNAMES:
-                return n, surname
-            given = self.is_first(word) and before.lower() not in W.PARTICLES
-            if given and surname:
-                return n, surname
-            surname = surname or not given
-        return min(len(words), _LONGEST), surname
+    def _class(self, word: str, before: str) -> str:
+        if word.lower().strip(".,") in _STOPS:
+            return "x"
+        if self.is_first(word):
+            return "g" if before.lower() in W.PARTICLES else "f"
+        return "l" if self.leads(word) else "s"
 
     def read(self, text: str) -> Iterator[dict]:
         for run in RUN.finditer(text):
-            places = [(m.start() + run.start(), m.group()) for m in re.finditer(r"\S+", run.group())]
-            words = [w for _, w in places]
-            used = at = 0
-            while at < len(words):
-                if not self.is_first(words[at]):
-                    at += 1
-                    continue
-                size, surname = self._stretch(words[at:])
-                ahead = not surname and at > used and self.leads(words[at - 1])
-                if surname or ahead:
-                    begin, (last, tail) = places[at - ahead][0], places[at + size - 1]
-                    yield _found(begin, text[begin : last + len(tail)], "rules:surname-first" if ahead else "rules:first-name")
-                    used = at + size
-                at += size
+            words = [m.span() for m in re.finditer(r"\S+", run.group())]
+            own = [run.group()[a:b] for a, b in words]
+            classes = "".join(map(self._class, own, ["", *own]))
+            for name in _NAMES.finditer(classes):
+                if name.lastgroup:
+                    begin, end = (run.start() + x for x in (words[name.start()][0], words[name.end() - 1][1]))
+                    yield _found(begin, text[begin:end], "rules:surname-first" if name.lastgroup == "ahead" else "rules:first-name")
 
 
 def name_spans(text: Column, first_names: Iterable[str] = W.FIRST_NAMES) -> Column:
     """Spans of people found by a first name; null text gives none."""
+    ship(SparkSession.active())
     reader = NameReader(first_names)
 
     def read(texts: pd.Series) -> pd.Series:

@@ -49,11 +49,11 @@ def placeholder_counts(spark, sf_dir):
 
 
 def _masked(spark, sf_dir, rules):
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = masking.rows_of(table(spark, sf_dir, "documents").select("doc_id", "text"))
     found = docs.withColumn("spans", resolve.resolve(F.col("text"), detect(F.col("text"), rules)) if len(rules) > 1 else detect(F.col("text"), rules))
-    own = masking.spans_of(found)
-    mapping = masking.stored(masking.number(own), "mapping")
-    return docs, mapping, masking.apply(docs, own, mapping)
+    found = masking.stored(found, "found")
+    mapping = masking.stored(masking.number(masking.spans_of(found)), "mapping")
+    return docs, mapping, masking.apply(found, mapping)
 
 
 def mask_contacts(spark, sf_dir):
@@ -220,13 +220,13 @@ def oracle_sql() -> dict[str, str]:
             UNION ALL SELECT o_orderkey, 'rules:vat-labeled', CAST(43 AS INTEGER), w FROM own""",
         "fold_text": "SELECT doc_id, md5(strip_accents(lower(text))) AS folded FROM documents",
         "column_header_kinds": """
-            SELECT * FROM (VALUES ('Nome', 'PERSONA'), ('COGNOME ', 'PERSONA'), ('E-mail', 'EMAIL'), ('P. IVA', 'PIVA'), ('Ragione sociale', 'AZIENDA'), ('Importo', NULL),
+            SELECT * FROM (VALUES ('Nome', 'PERSON'), ('COGNOME ', 'PERSON'), ('E-mail', 'EMAIL'), ('P. IVA', 'PIVA'), ('Ragione sociale', 'AZIENDA'), ('Importo', NULL),
                 ('Phone number', 'TELEFONO'), ('Indirizzo', 'INDIRIZZO')) t(title, kind)""",
         "glossary_spans": "SELECT c_custkey, 'ALTRO' AS kind, 'glossary' AS source, CAST(length(c_name) + 18 AS INTEGER) AS start_at, lower(c_mktsegment) AS value FROM customer",
         "known_value_spans": "SELECT c_custkey, 'AZIENDA' AS kind, 'known-value' AS source, CAST(8 AS INTEGER) AS start_at, c_name AS value FROM customer",
         "column_cell_spans": "SELECT c_custkey, 'AZIENDA' AS kind, 'column-header' AS source, CAST(2 AS INTEGER) AS start_at, c_name AS value FROM customer",
         "first_name_spans": """
-            SELECT s_suppkey, 'PERSONA' AS kind, CASE WHEN s_suppkey % 2 = 0 THEN 'rules:first-name' ELSE 'rules:surname-first' END AS source, CAST(7 AS INTEGER) AS start_at,
+            SELECT s_suppkey, 'PERSON' AS kind, CASE WHEN s_suppkey % 2 = 0 THEN 'rules:first-name' ELSE 'rules:surname-first' END AS source, CAST(7 AS INTEGER) AS start_at,
                    CASE WHEN s_suppkey % 2 = 0 THEN 'Mario Verdin' || chr(CAST(97 + s_suppkey % 26 AS INTEGER)) ELSE 'Verdin' || chr(CAST(97 + s_suppkey % 26 AS INTEGER)) || ' Mario' END AS value FROM supplier""",
         "full_roundtrip": "SELECT doc_id, text FROM documents",
         "review_groups": f"WITH {_SPANS} SELECT 'EMAIL' AS kind, value AS text, count(*) AS count FROM spans GROUP BY value",

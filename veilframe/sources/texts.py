@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from veilframe.session import ship
+
 SUFFIXES = (".txt", ".md", ".docx", ".xlsx")
 # The longer marks first: one of UTF-32 begins like one of UTF-16.
 _MARKS = ((codecs.BOM_UTF32_LE, "utf-32"), (codecs.BOM_UTF32_BE, "utf-32"), (codecs.BOM_UTF16_LE, "utf-16"), (codecs.BOM_UTF16_BE, "utf-16"), (codecs.BOM_UTF8, "utf-8-sig"))
@@ -34,6 +36,7 @@ def decoded(content: Column) -> Column:
     def run(rows: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([decode(bytes(b)) if b is not None else {"text": None, "bom": False, "error": "no content"} for b in rows], columns=["text", "bom", "error"])
 
+    ship(SparkSession.active())
     return F.pandas_udf(run, DECODED)(content)
 
 

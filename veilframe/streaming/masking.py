@@ -31,6 +31,6 @@ def mask_stream(docs: DataFrame, mapping_path: str, out_path: str, rules: tuple[
         spans = masking.spans_of(found, key)
         grown = stored(masking.number(spans, known, key), "mapping")
         grown.join(known.select("value"), "value", "left_anti").select("kind", "number", "value", "case_sensitive").write.mode("overwrite").parquet(f"{mapping_path}/batch={number}")
-        masking.apply(found, spans, grown, key, text).write.mode("overwrite").parquet(f"{out_path}/batch={number}")
+        masking.apply(found, grown, key, text).write.mode("overwrite").parquet(f"{out_path}/batch={number}")
 
     return docs.writeStream.foreachBatch(run)
