@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from veilframe.llm.chars import Words, labelled_sample, passing, text_slices
 from veilframe.session import ship
 
-SAMPLE, LONGEST = 2000, 50_000
+SAMPLE, LONGEST = 1200, 50_000
 # Insults of several languages, one plain list.
 LEXICON = tuple(
     """idiot moron stupid pathetic worthless disgusting scum trash loser clown dumb ugly imbecile filth vermin bastard coward cretin
@@ -45,7 +45,7 @@ RARE, COMMON = 3, 0.3
 LIFT, VOTERS = 4.0, 400
 #: Shares of toxic and of other texts that a label calls toxic, as far as known beforehand; it counts like all labelled texts.
 TRUST = (0.95, 0.01)
-_TABLE = 1 << 20
+_TABLE, _BUCKETS = 1 << 20, 1 << 24
 _SLICE = 1 << 20
 
 
@@ -86,8 +86,8 @@ class Votes:
 
     def __init__(self, bags: list[np.ndarray], voters: int) -> None:
         self.texts, self.voters = len(bags), voters
-        self.row = np.repeat(np.arange(len(bags)), [len(b) for b in bags])
-        self.col = np.concatenate(bags) if bags else np.zeros(0, np.int64)
+        self.row = np.repeat(np.arange(len(bags), dtype=np.int32), [len(b) for b in bags])
+        self.col = np.concatenate(bags) if bags else np.zeros(0, np.int32)
 
     def fired(self, mass: np.ndarray) -> np.ndarray:
         """Sum over the texts on which each voter fires."""
@@ -123,9 +123,11 @@ def label_model(votes: Votes, given: np.ndarray, first: np.ndarray, rounds: int
         telling = np.flatnonzero((rates[1] >= LIFT * rates[0]) & (votes.fired(q) >= 2.5))
         telling = telling[np.argsort(-(votes.fired(q) * np.log(rates[1] / rates[0]))[telling], kind="stable")[:VOTERS]]
         if len(telling):
-            v = votes.dense(telling)
-            rest = sure[:, None] * (v - ((1 - q)[:, None] * rates[0][telling] + q[:, None] * rates[1][telling]))
-            rest /= np.maximum(1e-9, np.sqrt((rest * rest).sum(0)))
+            rest, toxic = votes.dense(telling), q.astype(np.float32)
+            rest -= np.outer(1 - toxic, rates[0][telling].astype(np.float32))
+            rest -= np.outer(toxic, rates[1][telling].astype(np.float32))
+            rest[~sure] = 0
+            rest /= np.maximum(1e-9, np.sqrt(np.einsum("ij,ij->j", rest, rest)))
             tied = rest.T @ rest
             np.fill_diagonal(tied, 0)
             weight[telling] = 1 / (1 + np.where(tied > noise, tied, 0).sum(1))
@@ -168,35 +170,42 @@ def _linear(votes: Votes, posterior: np.ndarray, used: np.ndarray, rounds: int =
 
 
 def fit(bags: list[tuple[np.ndarray, np.ndarray, np.ndarray]], given: np.ndarray) -> Model:
-    """Learns from the ``features`` of texts; ``given`` is 1, 0 or -1 (not labelled)."""
+    """Learns from the ``features`` of texts, which are used up; ``given`` is 1, 0 or -1 (not labelled)."""
     none, known = np.zeros(0, np.uint64), given[given >= 0]
     if not len(known) or known.min() == known.max():
         return Model(none, np.zeros(0), 4.0 if len(known) and known[0] else -4.0, none, np.zeros(0))
     stated = Words(list(LEXICON)).hashes()
     # Features of fewer than RARE texts tell nothing; counts in hash buckets, never too small, rule most of them out early.
-    often = np.zeros(_TABLE, np.int32)
+    often = np.zeros(_BUCKETS, np.uint8)
     for bag in bags:
         for kind in bag:
-            np.add.at(often, (kind % np.uint64(_TABLE)).astype(np.int64), 1)
-    enough = lambda x: (often[(x % np.uint64(_TABLE)).astype(np.int64)] >= RARE) | np.isin(x, stated)
-    bags = [tuple(kind[enough(kind)] for kind in bag) for bag in bags]
+            bucket = (kind % np.uint64(_BUCKETS)).astype(np.int32)
+            often[bucket] = np.minimum(often[bucket], 254) + 1
+    enough = lambda x: (often[(x % np.uint64(_BUCKETS)).astype(np.int32)] >= RARE) | np.isin(x, stated)
+    for i, bag in enumerate(bags):
+        bags[i] = tuple(kind[enough(kind)] for kind in bag)
+    del often
     names = [np.unique(np.concatenate([bag[k] for bag in bags])) for k in range(3)]
     names[0] = np.union1d(names[0], stated)
     base = np.cumsum([0, *map(len, names)])
     kind = np.repeat(np.arange(3), np.diff(base))
-    rows = [np.concatenate([np.searchsorted(names[k], bag[k]) + base[k] for k in range(3)]) for bag in bags]
-    found = Votes(rows, int(base[3]))
-    count = found.fired(np.ones(len(rows)))
+    rows = [np.concatenate([np.searchsorted(names[k], bag[k]) + base[k] for k in range(3)]).astype(np.int32) for bag in bags]
+    bags.clear()
+    count = np.zeros(int(base[3]), np.int32)
+    for row in rows:
+        count[row] += 1
     spoken = np.zeros(int(base[3]), bool)
     spoken[np.searchsorted(names[0], stated)] = True
     pattern = (kind > 0) & (count >= RARE) & (count <= max(RARE, COMMON * len(rows)))
     voter = np.flatnonzero(spoken | pattern)
     place = np.full(len(kind), -1)
     place[voter] = np.arange(len(voter))
-    votes = Votes([place[r][place[r] >= 0] for r in rows], len(voter))
+    votes = Votes([own[own >= 0].astype(np.int32) for own in (place[r] for r in rows)], len(voter))
     rude = votes.total(spoken[voter].astype(float)) > 0
     first = np.where(given >= 0, np.where(given == 1, 0.95, 0.02), np.where(rude, 0.9, np.nan))
     posterior, *_ = label_model(votes, given, first)
+    del votes
+    found = Votes([r[(count[r] >= 5) | spoken[r]] for r in rows], int(base[3]))
     used = np.unique(np.concatenate([np.flatnonzero(spoken), _telling(found, posterior, 5.0, 8.0)]))
     w, b = _linear(found, posterior, used)
     hashes, pair = np.concatenate(names)[used], kind[used] == 2
