@@ -155,15 +155,78 @@ def full_roundtrip(spark, sf_dir):
     return api.restore(done.texts, done.mapping).select("doc_id", F.col("restored").alias("text"))
 
 
+_N = lambda by, size: f"lpad(CAST(c_custkey % {by} AS STRING), {size}, '0')"
+_LETTER = "chr(CAST(97 + c_custkey % 26 AS INT))"
+_HOUSE = "CAST(c_custkey % 900 + 1 AS STRING)"
+#: A sentence a rule: what stands before the value, the value (the same SQL in both dialects), what follows.
+SENTENCES = {
+    "cf-labeled": ("C.F. ", f"'ABCDEF12G34H' || {_N(1000, 3)} || 'I'", " fine"),
+    "phone": ("chiama ", f"'333 ' || {_N(10000000, 7)}", " ora"),
+    "phone-intl-00": ("chiama ", f"'0044 20 ' || {_N(10000, 4)} || ' 0958'", " ora"),
+    "phone-labeled": ("Tel: ", f"'02 ' || {_N(10000000, 7)}", " interno"),
+    "vat-eu": ("USt ", f"'DE' || {_N(1000000000, 9)}", " ok"),
+    "birth-date": ("nata a Pisa il ", f"lpad(CAST(c_custkey % 28 + 1 AS STRING), 2, '0') || '/04/19' || {_N(100, 2)}", ", residente"),
+    "plate": ("targa ", f"'AB ' || {_N(1000, 3)} || ' CD'", " nera"),
+    "id-document": ("passaporto n. ", f"'CA' || {_N(100000, 5)} || 'Z'", " valido"),
+    "title-name": ("la Dott.ssa ", f"'Lia Prova' || {_LETTER}", " scrive"),
+    "labeled-name": ("Referente: ", f"'Ugo Prova' || {_LETTER}", ", ok"),
+    "company-suffix": ("presso ", f"'Officine Prova' || {_LETTER} || ' S.r.l.'", " oggi"),
+    "institution": ("la ", f"'Fondazione Prova' || {_LETTER}", " chiede"),
+    "address": ("in ", f"'Via Garibaldi ' || {_HOUSE} || ', 50100 Firenze'", " oggi"),
+    "address-en": ("at ", f"{_HOUSE} || ' Baker Street, London'", " now"),
+    "address-de": ("bei ", f"'Hauptstraße ' || {_HOUSE} || ', 10115 Berlin'", " heute"),
+    "address-es": ("en ", f"'Calle de Alcalá ' || {_HOUSE}", " hoy"),
+    "address-fr": ("au ", f"{_HOUSE} || ' rue de Rivoli'", " ici"),
+}
+
+
+def _sentence(source: str):
+    before, value, after = SENTENCES[source]
+
+    def query(spark, sf_dir):
+        rows = table(spark, sf_dir, "customer").select("c_custkey", F.expr(f"concat('{before}', {value}, '{after}')").alias("text"))
+        found = masking.spans_of(masking.find(rows, (BY_SOURCE[source],)), "c_custkey")
+        return found.select("c_custkey", "kind", "source", F.col("start").alias("start_at"), F.col("text").alias("value"))
+
+    return query
+
+
+def allowlist_filter(spark, sf_dir):
+    """E-mails but for those that a document with an even id holds, listed in capitals."""
+    found = _values(spark, sf_dir, EMAIL)
+    listed = found.where("doc_id % 2 = 0").select(F.upper("text").alias("value"))
+    return masking.drop_allowed(found, listed).select("doc_id", F.col("text").alias("value"))
+
+
+def aliases_from_handles(spark, sf_dir):
+    mails = table(spark, sf_dir, "customer").select(F.lit("EMAIL").alias("kind"), F.concat(F.lower("c_mktsegment"), F.lit(".prova"), F.col("c_custkey").cast("string"), F.lit("@posta.it")).alias("text"))
+    return lookup.alias_needles(mails).select("kind", "source", "value")
+
+
+def dry_run_counts(spark, sf_dir):
+    """What would be masked: every value with its number of places and documents."""
+    found = _values(spark, sf_dir, EMAIL)
+    return found.groupBy("kind", F.col("text").alias("value")).agg(F.count("*").alias("n"), F.count_distinct("doc_id").alias("documents"))
+
+
+def restore_report(spark, sf_dir):
+    """Texts with a written, a rewritten and an invented placeholder, put back and accounted for."""
+    rows = table(spark, sf_dir, "customer")
+    mapping = rows.select(F.lit("AZIENDA").alias("kind"), F.col("c_custkey").alias("number"), F.col("c_name").alias("value"), F.lit(False).alias("case_sensitive"))
+    edited = rows.select("c_custkey", F.expr("concat('[AZIENDA_', c_custkey, '] e (azienda ', c_custkey, ') e [EMAIL_', c_custkey, ']')").alias("masked"))
+    out = masking.restore(edited, mapping, "c_custkey")
+    return out.select("c_custkey", "restored", F.size("found").alias("found"), F.size("altered").alias("altered"), F.get("invented", F.lit(0)).alias("invented"))
+
+
 OWN = (
     emails_in_documents, intl_phones_in_documents, urls_in_pages, email_spans_offsets, placeholder_numbering, placeholder_counts, mask_contacts, mask_emails, restore_roundtrip,
     leaks_after_masking, vat_checksum, iban_checksum, cf_checksum, labeled_ids, fold_text, column_header_kinds, review_groups, all_rules_in_documents,
-    glossary_spans, known_value_spans, column_cell_spans, first_name_spans, full_roundtrip,
+    glossary_spans, known_value_spans, column_cell_spans, first_name_spans, full_roundtrip, allowlist_filter, aliases_from_handles, dry_run_counts, restore_report,
 )
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in OWN}
+    return {f.__name__: f for f in OWN} | {f"rule_{k.replace('-', '_')}": _sentence(k) for k in SENTENCES}
 
 
 _MAIL = r"[A-Za-z0-9._%+\-]+@[A-Za-z0-9\-]+(?:\.[A-Za-z0-9\-]+)*\.[A-Za-z]{2,}"
@@ -186,7 +249,19 @@ def _mod97(digits: str) -> str:
 def oracle_sql() -> dict[str, str]:
     odd = [1, 0, 5, 7, 9, 13, 15, 17, 19, 21, 1, 0, 5, 7, 9, 13, 15, 17, 19, 21, 2, 4, 18, 20, 11, 3, 6, 8, 12, 14, 16, 10, 22, 25, 24, 23]
     place = "position(substr(base, CAST(i AS BIGINT), 1) IN '0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ')"
-    return {
+    rules = {
+        f"rule_{k.replace('-', '_')}": f"SELECT c_custkey, '{BY_SOURCE[k].kind}' AS kind, 'rules:{k}' AS source, CAST({len(before)} AS INTEGER) AS start_at, {value} AS value FROM customer"
+        for k, (before, value, _) in SENTENCES.items()
+    }
+    return rules | {
+        "allowlist_filter": f"WITH {_SPANS} SELECT doc_id, value FROM spans WHERE lower(value) NOT IN (SELECT lower(value) FROM spans WHERE doc_id % 2 = 0)",
+        "aliases_from_handles": """
+            WITH words AS (SELECT DISTINCT lower(c_mktsegment) AS w FROM customer UNION SELECT 'prova' FROM customer)
+            SELECT 'PERSON' AS kind, 'person-alias' AS source, unnest([upper(w[1]) || w[2:], upper(w)]) AS value FROM words""",
+        "dry_run_counts": f"WITH {_SPANS} SELECT 'EMAIL' AS kind, value, count(*) AS n, count(DISTINCT doc_id) AS documents FROM spans GROUP BY value",
+        "restore_report": """
+            SELECT c_custkey, c_name || ' e ' || c_name || ' e [EMAIL_' || c_custkey || ']' AS restored, CAST(2 AS INTEGER) AS found, CAST(1 AS INTEGER) AS altered, '[EMAIL_' || c_custkey || ']' AS invented
+            FROM customer""",
         "emails_in_documents": f"SELECT doc_id, unnest(regexp_extract_all(text, '{_MAIL}')) AS value FROM documents",
         "intl_phones_in_documents": r"""
             SELECT doc_id, value FROM (SELECT doc_id, unnest(regexp_extract_all(text, '(?:^|[^\p{L}\p{N}_.,/+\-])(\+\d{1,3}(?:[ .\-]?\(?\d{1,4}\)?){2,5})', 1)) AS value FROM documents)
