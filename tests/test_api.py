@@ -109,6 +109,9 @@ def test_decoding(tmp_path, spark):
     out = read.select(texts.output_name(F.col("path"), "anon").alias("name"), texts.encoded(F.col("text"), F.col("bom")).alias("content"))
     assert {r.name for r in texts.write_files(out, str(tmp_path / "out")).collect()} == {"a.anon.txt", "b.anon.md"}
     assert (tmp_path / "out" / "a.anon.txt").read_bytes() == (tmp_path / "a.txt").read_bytes()
+    with pytest.raises(Exception, match="no plain file name"):
+        texts.write_files(spark.createDataFrame([("../x.txt", b"x")], "name string, content binary"), str(tmp_path / "out")).collect()
+    assert not (tmp_path / "x.txt").exists()
 
 
 def test_store(tmp_path, spark):

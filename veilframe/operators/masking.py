@@ -118,6 +118,17 @@ def restore(docs: DataFrame, mapping: DataFrame, key: str = "doc_id", text: str
     return rows.join(per, ROW, "left").select(key, splice(F.col(text), F.col("edits")).alias("restored"), "found", "altered", "invented")
 
 
+def placeholders_in(text: Column) -> Column:
+    """The distinct placeholders of a text in their written form, in order of appearance."""
+    return F.array_distinct(F.transform(references(text), lambda r: placeholder(r["kind"], r["number"])))
+
+
+def totals(found: DataFrame, key: str = "doc_id") -> DataFrame:
+    """``key, masked, distinct``: approved spans and different values of every row of ``found(key, spans)``."""
+    values = F.transform(F.filter("spans", lambda s: s["approved"]), lambda s: s["text"])
+    return found.select(key, F.size(values).alias("masked"), F.size(F.array_distinct(values)).alias("distinct"))
+
+
 def missing(expected: Column, found: Column) -> Column:
     """Placeholders that were sent and did not come back, in order."""
     return F.array_sort(F.array_except(expected, found))

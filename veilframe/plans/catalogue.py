@@ -209,6 +209,17 @@ def dry_run_counts(spark, sf_dir):
     return found.groupBy("kind", F.col("text").alias("value")).agg(F.count("*").alias("n"), F.count_distinct("doc_id").alias("documents"))
 
 
+def masked_totals(spark, sf_dir):
+    """Places and different values that would be masked in every document."""
+    return masking.totals(masking.find(table(spark, sf_dir, "documents").select("doc_id", "text"), EMAIL))
+
+
+def placeholders_of_texts(spark, sf_dir):
+    """The placeholders of texts that hold one twice, one rewritten and one cut in half."""
+    text = F.expr("concat('[EMAIL_', c_custkey, '] (email ', c_custkey, ') [CF_7 x ', '\\\\[URL\\\\_', c_custkey, '\\\\]')")
+    return table(spark, sf_dir, "customer").select("c_custkey", F.array_join(masking.placeholders_in(text), " ").alias("placeholders"))
+
+
 def restore_report(spark, sf_dir):
     """Texts with a written, a rewritten and an invented placeholder, put back and accounted for."""
     rows = table(spark, sf_dir, "customer")
@@ -221,7 +232,7 @@ def restore_report(spark, sf_dir):
 OWN = (
     emails_in_documents, intl_phones_in_documents, urls_in_pages, email_spans_offsets, placeholder_numbering, placeholder_counts, mask_contacts, mask_emails, restore_roundtrip,
     leaks_after_masking, vat_checksum, iban_checksum, cf_checksum, labeled_ids, fold_text, column_header_kinds, review_groups, all_rules_in_documents,
-    glossary_spans, known_value_spans, column_cell_spans, first_name_spans, full_roundtrip, allowlist_filter, aliases_from_handles, dry_run_counts, restore_report,
+    glossary_spans, known_value_spans, column_cell_spans, first_name_spans, full_roundtrip, allowlist_filter, aliases_from_handles, dry_run_counts, restore_report, masked_totals, placeholders_of_texts,
 )
 
 
@@ -259,6 +270,9 @@ def oracle_sql() -> dict[str, str]:
             WITH words AS (SELECT DISTINCT lower(c_mktsegment) AS w FROM customer UNION SELECT 'prova' FROM customer)
             SELECT 'PERSON' AS kind, 'person-alias' AS source, unnest([upper(w[1]) || w[2:], upper(w)]) AS value FROM words""",
         "dry_run_counts": f"WITH {_SPANS} SELECT 'EMAIL' AS kind, value, count(*) AS n, count(DISTINCT doc_id) AS documents FROM spans GROUP BY value",
+        "masked_totals": f"""WITH {_SPANS}, n AS (SELECT doc_id, count(*) AS m, count(DISTINCT value) AS v FROM spans GROUP BY doc_id)
+            SELECT d.doc_id, CAST(coalesce(m, 0) AS INTEGER) AS masked, CAST(coalesce(v, 0) AS INTEGER) AS "distinct" FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id""",
+        "placeholders_of_texts": "SELECT c_custkey, '[EMAIL_' || c_custkey || '] [CF_7] [URL_' || c_custkey || ']' AS placeholders FROM customer",
         "restore_report": """
             SELECT c_custkey, c_name || ' e ' || c_name || ' e [EMAIL_' || c_custkey || ']' AS restored, CAST(2 AS INTEGER) AS found, CAST(1 AS INTEGER) AS altered, '[EMAIL_' || c_custkey || ']' AS invented
             FROM customer""",

@@ -21,6 +21,8 @@ def shared_dir(spark: SparkSession) -> str:
     """
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         at = Path(tempfile.mkdtemp(prefix="veilframe-")).as_uri()
         spark.sparkContext.setCheckpointDir(at)
     return at if "://" in at or at.startswith("file:") else Path(at).as_uri()

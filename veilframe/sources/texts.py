@@ -73,6 +73,8 @@ def write_files(rows: DataFrame, folder: str) -> DataFrame:
         for batch in batches:
             sizes = []
             for name, content in zip(batch["name"], batch["content"]):
+                if name in ("", ".", "..") or "/" in name or "\\" in name:
+                    raise ValueError(f"{name!r} is no plain file name")
                 target = os.path.join(folder, name)
                 staged = os.path.join(folder, f".{name}.{os.getpid()}.part")
                 with open(staged, "wb") as f:
