@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veilframe.functions.spans import fold, matches, splice
+from veilframe.functions.words import TITLES
 from veilframe.operators.rules import KINDS, RULES, Rule, detect
 from veilframe.session import ship, stored
 
@@ -146,19 +147,9 @@ def leaks(masked: DataFrame, accepted: DataFrame | None = None, key: str = "doc_
 
 def header_kind(label: Column) -> Column:
     """Kind of the values under a column title, null if the title is not a known one."""
-    # Titles by kind.
-    titles = {
-        "PERSON": "nome|cognome|nome e cognome|cognome e nome|nome cognome|cognome nome|nominativo|name|first name|last name|surname|full name|given name|family name",
-        "AZIENDA": "cliente|customer|client|ragione sociale|company|company name",
-        "EMAIL": "email|e mail|mail|pec|indirizzo email|indirizzo e mail|email address|e mail address",
-        "TELEFONO": "telefono|tel|cellulare|cell|numero di telefono|phone|telephone|mobile|phone number",
-        "CF": "codice fiscale|cf|c f|tax code|fiscal code",
-        "PIVA": "p iva|piva|partita iva|vat|vat number|vat no|vat id",
-        "INDIRIZZO": "indirizzo|address|street address",
-    }
     flat = F.trim(F.regexp_replace(fold(label), "[^a-z0-9]+", " "))
     out = F.lit(None).cast("string")
-    for kind, names in titles.items():
+    for kind, names in TITLES.items():
         out = F.when(flat.rlike(f"^(?:{names})$"), F.lit(kind)).otherwise(out)
     return out
 

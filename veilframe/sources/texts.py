@@ -40,17 +40,20 @@ def decoded(content: Column) -> Column:
     return F.pandas_udf(run, DECODED)(content)
 
 
-def scan(spark: SparkSession, path: str, recursive: bool = False, out: str | None = None) -> DataFrame:
+def scan(spark: SparkSession, path: str, recursive: bool = False, out: str | None = None, results: bool = False) -> DataFrame:
     """``path, suffix, status, content`` of a folder's files; one status a file.
 
     Hidden files and folders, earlier results (``.anon``, ``.restored``) and what lies under
-    ``out`` are no input; files with other endings are listed as skipped.
+    ``out`` are no input, unless ``results`` asks for earlier results; files with other endings
+    are listed as skipped.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(path)
     name = F.element_at(F.split("path", "/"), -1)
     below = F.substr("path", F.locate(path.rstrip("/"), F.col("path")) + len(path.rstrip("/")))
-    mine = ~below.rlike(r"/\.") & ~name.rlike(r"\.(anon|restored)(\.[^.]*)?$")
-    if out:
+    mine = ~below.rlike(r"/\.")
+    if not results:
+        mine &= ~name.rlike(r"\.(anon|restored)(\.[^.]*)?$")
+    if out and not results:
         mine &= ~F.contains(F.col("path"), F.lit(out.rstrip("/") + "/"))
     suffix = F.lower(F.regexp_extract(name, r"(\.[^.]+)$", 1))
     status = F.when(suffix.isin(*SUFFIXES), "ready").otherwise("skipped")
