@@ -2,10 +2,9 @@ import io
 import zipfile
 
 import pytest
-from pyspark.sql import functions as F
 
 from veilframe.operators.rules import BY_SOURCE
-from veilframe.publish import Leak, mask_folder, restore_folder
+from veilframe.publish import exit_code, mask_folder, restore_folder, summary
 from veilframe.sources import office
 from veilframe.sources.documents import read_documents, read_notes
 from veilframe.sources.office import Package, PackageError
@@ -115,6 +114,7 @@ def test_folder_masked_and_restored(tmp_path, spark):
     got = mask_folder(spark, str(source), str(out), rules=rules)
     assert sorted(p.name for p in out.iterdir()) == ["a.anon.docx", "b.anon.xlsx", "c.anon.txt"]
     assert [r.path.split("/")[-1] for r in got.unread.collect()] == ["d.docx"]
+    assert {r.path.split("/")[-1]: r.status for r in got.files.collect()} == {"a.docx": "masked", "b.xlsx": "masked", "c.txt": "masked", "d.docx": "error"} and exit_code(got.files) == 1
     for name in ("a.anon.docx", "b.anon.xlsx"):
         held = everything(out / name)
         assert b"@" not in held.replace(b"@Target", b"") and b"Quux" not in held
@@ -133,9 +133,9 @@ def test_leaks_are_not_published(tmp_path, spark):
     (source / "c.txt").write_text("a.b@x.it e Acme Uno")
     rules, allowed = (BY_SOURCE["email"],), spark.createDataFrame([("a.b@x.it",)], "value string")
     known = spark.createDataFrame([("AZIENDA", 1, "Uno", True)], "kind string, number bigint, value string, case_sensitive boolean")
-    with pytest.raises(Leak) as caught:
-        mask_folder(spark, str(source), str(out), known, rules=rules, propagate=False, first_names=None)
-    assert [r.text for r in caught.value.found.select(F.col("text")).collect()] == ["Uno"] and not list(out.iterdir())
+    got = mask_folder(spark, str(source), str(out), known, rules=rules, propagate=False, first_names=None)
+    assert [(r.name, r.text) for r in got.leaks.collect()] == [("c.anon.txt", "Uno")] and not list(out.iterdir())
+    assert exit_code(got.files) == 2 and {r.status: r["count"] for r in summary(got.files).collect()} == {"blocked": 1, "masked": 0, "dry-run": 0, "skipped": 0, "error": 0}
     mask_folder(spark, str(source), str(out), known, rules=rules, propagate=False, first_names=None, force=True)
     assert "Acme Uno" in (out / "c.anon.txt").read_text()
     mask_folder(spark, str(source), str(out), rules=rules, allowlist=allowed, first_names=None)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veilframe.functions import words as W
@@ -125,3 +125,38 @@ def upsert_term(glossary: DataFrame, added: DataFrame) -> DataFrame:
     rows = glossary.withColumn("_turn", F.lit(0)).unionByName(added.withColumn("_turn", F.lit(1))).withColumn("_key", fold(F.trim("term")))
     one = rows.groupBy("_key").agg(F.max(F.struct("_turn", "term", "kind")).alias("l"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("aliases")))).alias("aliases"))
     return one.select("l.term", "l.kind", "aliases")
+
+
+def remove_term(glossary: DataFrame, term: str) -> DataFrame:
+    """The glossary without a term, compared folded; a term that is not there is an error."""
+    mine = fold(F.trim("term")) == fold(F.lit(term.strip()))
+    if not glossary.where(mine).limit(1).count():
+        raise KeyError(term)
+    return glossary.where(~mine)
+
+
+def allow(allowlist: DataFrame, value: str) -> DataFrame:
+    """The list with a value, unless it or one that folds alike is on it."""
+    if is_allowed(allowlist, value):
+        return allowlist
+    return allowlist.unionByName(allowlist.sparkSession.createDataFrame([(value.strip(),)], "value string"))
+
+
+def disallow(allowlist: DataFrame, value: str) -> DataFrame:
+    if not is_allowed(allowlist, value):
+        raise KeyError(value)
+    return allowlist.where(fold(F.trim("value")) != fold(F.lit(value.strip())))
+
+
+def is_allowed(allowlist: DataFrame, value: str) -> bool:
+    return allowlist.where(fold(F.trim("value")) == fold(F.lit(value.strip()))).limit(1).count() > 0
+
+
+def anonymize_text(spark: SparkSession, text: str, mapping: DataFrame | None = None, **options) -> tuple[str, DataFrame]:
+    """One text masked, and the mapping grown by it."""
+    got = anonymize(spark.createDataFrame([("text", text)], "doc_id string, text string"), mapping, **options)
+    return got.texts.first()["masked"], got.mapping
+
+
+def restore_text(spark: SparkSession, text: str, mapping: DataFrame) -> str:
+    return restore(spark.createDataFrame([("text", text)], "doc_id string, masked string"), mapping).first()["restored"]
