@@ -1,4 +1,6 @@
 import itertools
+import time
+import weakref
 import zlib
 
 import numpy as np
@@ -7,7 +9,7 @@ from tokenizers import Tokenizer
 
 from pyspark.sql import functions as F
 
-from veilframe.llm import ann, arcwarc, chars, decontam, files, jaccard, langid, packing, quality, toxicity, wavelet
+from veilframe.llm import ann, arcwarc, chars, decontam, files, jaccard, langid, packing, quality, tokens, toxicity, wavelet
 from veilframe.llm.tokens import Coder, tokenizer_path
 
 
@@ -186,3 +188,17 @@ def test_one_id_for_two_vectors(spark):
     rows = [(50, [1.0, 0.0]), (50, [0.0, 1.0]), (1, [1.0, 0.1]), (2, [0.1, 1.0])]
     got = ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), F.col("vec_id") % 50 == 0, 1).collect()
     assert [(r.query_id, r.vec_id) for r in got] in ([(50, 1)], [(50, 2)])
+
+
+def test_idle_coder_leaves_the_worker(monkeypatch):
+    monkeypatch.setattr(tokens, "KEPT", 1.0, raising=False)
+    path = tokenizer_path("word_bpe_49k.json")
+    own = tokens.coder(path, False)
+    first, gone = own.encode(["some words, again"]), weakref.ref(own)
+    assert tokens.coder(path, False) is own
+    del own
+    until = time.monotonic() + 20
+    while gone() is not None and time.monotonic() < until:
+        time.sleep(0.1)
+    assert gone() is None and not tokens._CODERS
+    assert tokens.coder(path, False).encode(["some words, again"]) == first

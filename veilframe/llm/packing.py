@@ -22,6 +22,8 @@ from veilframe.llm.tokens import coder
 from veilframe.session import ship, stored
 
 SIZE = 4096
+#: Words of a generation that a worker remembers; two workers share an executor with a full heap.
+WORDS = 300_000
 
 
 class Capacities:
@@ -100,7 +102,7 @@ def _pieces(tokenizer: str, end_id: int, size: int, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        pid, code, end = TaskContext.get().partitionId(), coder(tokenizer, False), np.array([end_id], "<u4").tobytes()
+        pid, code, end = TaskContext.get().partitionId(), coder(tokenizer, False, WORDS), np.array([end_id], "<u4").tobytes()
         seen: dict[int, int] = {}
         for batch in batches:
             names, texts = batch.column("doc_id").to_pylist(), batch.column("text")

@@ -10,12 +10,18 @@ text; texts with runs of blanks are cut more strictly, and texts that hold an ad
 
 from __future__ import annotations
 
+import ctypes
 import os
 import re
+import threading
+import time
 
 import numpy as np
+import pyarrow as pa
 
-_CODERS: dict[tuple[str, bool], "Coder"] = {}
+_CODERS: dict[tuple[str, bool, int], "Coder"] = {}
+#: Seconds after its last use that a worker process keeps a coder.
+KEPT = 5.0
 _CUT = re.compile(r"(?= \S)")
 #: Latin letters that every Unicode version knows as letters, without the one whose lower case has two characters.
 _PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-įı-ɏ]+)[!-/:-@\[-`{-~]*").fullmatch
@@ -56,6 +62,7 @@ class Coder:
         self.added = [a.content for a in self.tok.get_added_tokens_decoder().values()]
         self.blank = leading_blank
         self.limit = limit
+        self.used = time.monotonic()
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
         size = self.tok.get_vocab_size()
@@ -122,6 +129,7 @@ class Coder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
+        self.used = time.monotonic()
         if len(self.young) >= self.limit:
             self.old, self.young = self.young, {}
         out: list[tuple[bytes, list]] = []
@@ -171,8 +179,25 @@ class Coder:
         return parts
 
 
-def coder(path: str, leading_blank: bool) -> Coder:
-    """One coder per worker process and file."""
-    if (path, leading_blank) not in _CODERS:
-        _CODERS[path, leading_blank] = Coder(path, leading_blank)
-    return _CODERS[path, leading_blank]
+def _drop(key: tuple[str, bool, int], own: Coder) -> None:
+    while (left := own.used + KEPT - time.monotonic()) > 0:
+        time.sleep(left)
+    del _CODERS[key], own
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # else the C library keeps what was freed
+        trim(0)
+
+
+def coder(path: str, leading_blank: bool, limit: int = 600_000) -> Coder:
+    """One coder per worker process, file and limit.
+
+    Workers outlive a stage and serve the next one, so a coder that was not used for ``KEPT``
+    seconds is dropped with all its words.  A task that still holds it may go on using it.
+    """
+    key = (path, leading_blank, limit)
+    own = _CODERS.get(key)
+    if own is None:
+        own = _CODERS[key] = Coder(path, leading_blank, limit)
+        threading.Thread(target=_drop, args=(key, own), daemon=True).start()
+    own.used = time.monotonic()
+    return own
