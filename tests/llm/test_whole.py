@@ -202,3 +202,23 @@ def test_idle_coder_leaves_the_worker(monkeypatch):
         time.sleep(0.1)
     assert gone() is None and not tokens._CODERS
     assert tokens.coder(path, False).encode(["some words, again"]) == first
+
+
+@pytest.mark.parametrize("near", (0.05, 3.0))
+def test_few_radii_are_counted_and_end_as_step_by_step(monkeypatch, near):
+    rng = np.random.default_rng(4)
+    unit = np.repeat(rng.standard_normal((60, 64)), 20, axis=0) + near * rng.standard_normal((1200, 64))
+    unit /= np.sqrt((unit * unit).sum(1))[:, None]
+    index, counted = ann.Index(unit), []
+    plain, most = ann.Index.collisions, max(200, 300) + 6
+    monkeypatch.setattr(ann.Index, "collisions", lambda self, at, radius: counted.append(radius) or plain(self, at, radius))
+    for q in unit[::60]:
+        ids, scores = index.search(q, lambda some, q=q: unit[some] @ q, 6)
+        for radius in ann.RADII:
+            hits = (np.abs((unit - q) @ index.axes) <= radius * ann.WIDTH / 2).sum(1) >= ann.THRESHOLD
+            if hits.sum() >= most or hits.sum() >= 6 and np.sqrt(max(0, 2 - 2 * np.sort((unit @ q)[hits])[-6])) <= radius * ann.SURE:
+                break
+        want = np.arange(1200) if hits.sum() >= most else np.flatnonzero(hits)
+        assert ids.tolist() == want.tolist() and np.allclose(scores, unit[ids] @ q)
+        assert 0 < len(counted) <= 5
+        counted.clear()

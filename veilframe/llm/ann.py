@@ -2,10 +2,11 @@
 
 Vectors are scaled to length one, so the largest cosine is the smallest distance.  An index
 is a set of random projections, each a sorted array of single values.  A query opens a window
-around its own value in every array; a vector collides where it lies in the window.  Windows
-grow by virtual rehashing (radius 1, c, c^2, ...) and a vector that collides in at least
-``threshold`` arrays is verified by its exact cosine in double precision.  A query ends when
-its k-th best lies within the next radius.  Where ``SHARE`` of a block is verified before that,
+around its own value in every array; a vector collides where it lies in the window, which its
+place in the array tells.  Windows grow by virtual rehashing (radius 1, c, c^2, ...) and a vector
+that collides in at least ``threshold`` arrays is verified by its exact cosine in double
+precision.  A query ends at the first radius within which its k-th best lies; whether it ends
+is monotone in the radius, so that one is found by halving.  Where ``SHARE`` of a block is verified before that,
 counting on costs more than it saves: the rest of the block is verified at once, so such a query
 is exact.  Only the distance test can miss a neighbour (seldom: one that lies just within it).
 
@@ -40,43 +41,48 @@ def _matrix(table: pa.Table, column: str) -> np.ndarray:
 
 
 class Index:
-    """Sorted single projections of unit vectors."""
+    """Sorted single projections of unit vectors, and each vector's place in each."""
 
     def __init__(self, unit: np.ndarray, seed: int = 7) -> None:
         rng = np.random.default_rng(seed)
         self.axes = rng.standard_normal((unit.shape[1], PROJECTIONS))
+        self.n = len(unit)
         values = unit @ self.axes
-        self.order = np.argsort(values, axis=0, kind="stable").T.astype(np.int32).copy()
+        order = np.argsort(values, axis=0, kind="stable").T
         self.values = np.sort(values, axis=0).T.copy()
-        self.n = len(unit)
+        self.place = np.empty(order.shape, np.uint16 if self.n < 1 << 16 else np.uint32)
+        np.put_along_axis(self.place, order, np.arange(self.n, dtype=self.place.dtype)[None, :], axis=1)
+
+    def collisions(self, at: list[float], radius: float) -> np.ndarray:
+        """In how many arrays each vector lies in the window around ``at``."""
+        step = radius * WIDTH / 2
+        low = np.array([v.searchsorted(x - step) for v, x in zip(self.values, at)], self.place.dtype)[:, None]
+        high = np.array([v.searchsorted(x + step, "right") for v, x in zip(self.values, at)], self.place.dtype)[:, None]
+        inside = (self.place - low) < (high - low)  # unsigned: places before the window wrap around
+        return inside.view(np.uint8).sum(0, dtype=np.uint8)
 
     def search(self, query: np.ndarray, cosine, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Verified candidates of one unit query and their cosines."""
-        at = query @ self.axes
-        counts = np.zeros(self.n, np.uint8)
-        done = np.zeros(self.n, bool)
-        steps = np.array(RADII) * WIDTH / 2
-        low = [np.searchsorted(v, x - steps).tolist() for v, x in zip(self.values, at)]
-        high = [np.searchsorted(v, x + steps, "right").tolist() for v, x in zip(self.values, at)]
-        ids, scores = np.zeros(0, np.int64), np.zeros(0)
+        """Verified candidates of one unit query and their cosines, as at the first radius that ends it.
+
+        Candidates only get more and the k-th best only nearer as windows grow, so that radius is
+        found by halving: five radii are counted, not all up to it.
+        """
+        at = (query @ self.axes).tolist()
         most = min(self.n, max(200, math.ceil(SHARE * self.n)) + k)
-        for r, radius in enumerate(RADII):
-            for own, a, b in zip(self.order, low, high):
-                if r == 0:
-                    counts[own[a[0] : b[0]]] += 1
-                else:
-                    counts[own[a[r] : a[r - 1]]] += 1
-                    counts[own[b[r - 1] : b[r]]] += 1
-            fresh = np.flatnonzero((counts >= THRESHOLD) & ~done)
-            if len(fresh):
-                done[fresh] = True
-                ids, scores = np.concatenate([ids, fresh]), np.concatenate([scores, cosine(fresh)])
-            if len(ids) >= most:
-                rest = np.flatnonzero(~done)
-                return np.concatenate([ids, rest]), np.concatenate([scores, cosine(rest)])
-            if len(ids) >= k and math.sqrt(max(0.0, 2 - 2 * np.partition(scores, len(scores) - k)[-k])) <= radius * SURE:
-                break
-        return ids, scores
+        first, last, found = 0, len(RADII) - 1, None
+        while first < last or found is None:
+            r = (first + last) // 2
+            ids = np.flatnonzero(self.collisions(at, RADII[r]) >= THRESHOLD)
+            whole = len(ids) >= most or r == len(RADII) - 1
+            scores = cosine(ids) if k <= len(ids) and not whole else None
+            if whole or scores is not None and math.sqrt(max(0.0, 2 - 2 * np.partition(scores, len(scores) - k)[-k])) <= RADII[r] * SURE:
+                last, found = r, (ids, scores, whole)
+                if first == last:
+                    break
+            else:
+                first = r + 1
+        ids, scores, whole = found
+        return (np.arange(self.n), cosine(slice(None))) if whole else (ids, scores)
 
 
 def cosines(x: np.ndarray, rows: np.ndarray) -> np.ndarray:
