@@ -4,12 +4,14 @@ import weakref
 import zlib
 
 import numpy as np
+import pyarrow as pa
+import pyspark
 import pytest
 from tokenizers import Tokenizer
 
 from pyspark.sql import functions as F
 
-from veilframe.llm import ann, arcwarc, chars, decontam, files, jaccard, langid, packing, quality, tokens, toxicity, wavelet
+from veilframe.llm import ann, arcwarc, chars, decontam, files, jaccard, langid, packing, quality, tokens, toxicity, wavelet, workers
 from veilframe.llm.tokens import Coder, tokenizer_path
 
 
@@ -204,6 +206,46 @@ def test_idle_coder_leaves_the_worker(monkeypatch):
     assert tokens.coder(path, False).encode(["some words, again"]) == first
 
 
+def test_packing_remembers_few_words(monkeypatch):
+    class Task:
+        get = staticmethod(lambda: Task)
+        partitionId = staticmethod(lambda: 0)
+
+    monkeypatch.setattr(pyspark, "TaskContext", Task)
+    word = lambda k: "".join(chr(97 + k // 26**i % 26) for i in range(4))
+    texts = [" ".join(word(400 * i + k) for k in range(400)) for i in range(1000)]
+    batch = pa.record_batch({"doc_id": list(range(1000)), "text": texts})
+    pieces = list(packing._pieces(tokenizer_path("word_bpe_49k.json"), 1, 4096, False)([batch]))
+    (own,) = (c for k, c in tokens._CODERS.items() if k[2] == packing.WORDS)
+    assert len(own.young) + len(own.old) <= 310_000
+    tok = Tokenizer.from_file(tokenizer_path("word_bpe_49k.json"))
+    assert sum(b.num_rows for b in pieces) == 1000
+    assert pieces[-1].column("length")[-1].as_py() == len(tok.encode(texts[-1], add_special_tokens=False).ids) + 1
+
+
+def test_memory_is_given_back_once_a_task_holds_nothing(monkeypatch):
+    held, gone = [], []
+
+    def run(batches):
+        values = np.zeros(9)
+        held.append(weakref.ref(values))
+        yield from batches
+
+    monkeypatch.setattr(workers, "release", lambda: gone.append(held[-1]() is None))
+    assert list(workers.tidy(run)(iter([1, 2]))) == [1, 2] and gone == [True]
+
+
+def test_tasks_beside_a_full_heap_give_memory_back(spark, monkeypatch):
+    tidied = []
+    for module in (chars, jaccard, packing):
+        monkeypatch.setattr(module, "tidy", lambda run: tidied.append(run.__qualname__.partition(".")[0]) or run)
+    docs = spark.createDataFrame([(1, "a b c d"), (2, "a b c d"), (3, "a b c e")], "doc_id long, text string")
+    chars.passing(F.col("text"), lambda texts: np.ones(len(texts), bool), 9)
+    packing.pack(docs, tokenizer_path("word_bpe_49k.json"), 1)
+    jaccard.jaccard_components(docs)
+    assert {*tidied} == {"passing", "_pieces", "_summary", "_prefixes", "_flagged"}
+
+
 @pytest.mark.parametrize("near", (0.05, 3.0))
 def test_few_radii_are_counted_and_end_as_step_by_step(monkeypatch, near):
     rng = np.random.default_rng(4)

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veilframe.llm.arrays import mix, powers
+from veilframe.llm.workers import tidy
 from veilframe.session import stored
 
 #: Distinct labels up to which their counts are broadcast.
@@ -119,7 +120,7 @@ def passing(text: Column, test: Callable[[list[str | None]], np.ndarray], most:
             yield pa.array(np.concatenate(parts) if parts else np.zeros(0, bool), pa.bool_())
 
     run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
-    return F.arrow_udf(run, "boolean")(text.cast("string"))
+    return F.arrow_udf(tidy(run), "boolean")(text.cast("string"))
 
 
 def remainder(column: str, by: int) -> Column:

@@ -30,7 +30,8 @@ from pyspark.sql import functions as F
 
 from veilframe.llm import arrays
 from veilframe.llm.naming import unused
-from veilframe.session import ship, stored
+from veilframe.llm.workers import tidy
+from veilframe.session import SMALL_BATCH, ship, stored
 
 #: Buckets of the occurrence counts that order the shingles: 4 MB as a broadcast, at any input size.
 BUCKETS = 1 << 20
@@ -164,7 +165,7 @@ def _links(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataF
     spark = docs.sparkSession
     ids = pairs.select(F.explode(F.array("x", "y")).alias("id")).distinct()
     bits = spark.sparkContext.broadcast(_bits(ids))
-    sets = docs.where("doc_id IS NOT NULL").mapInArrow(_flagged(width, bits), "rep long, tokens array<long>")
+    sets = docs.where("doc_id IS NOT NULL").mapInArrow(tidy(_flagged(width, bits)), "rep long, tokens array<long>")
     both = pairs.join(sets.select(F.col("rep").alias("x"), F.col("tokens").alias("tx")), "x")
     both = both.join(sets.select(F.col("rep").alias("y"), F.col("tokens").alias("ty")), "y")
     need = lambda t: F.expr(f"size({t}) - (size({t}) * {percent} + 99) div 100 + 1").cast("int")
@@ -231,9 +232,9 @@ def components(links: DataFrame) -> DataFrame:
 def jaccard_components(docs: DataFrame, width: int = 3, percent: int = 90) -> DataFrame:
     """``doc_id, n_shingles, component_id`` for every row of ``docs(doc_id, text)``."""
     spark = docs.sparkSession
-    ship(spark)
+    ship(spark, SMALL_BATCH)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    summary = stored(docs.mapInArrow(_summary(width, BUCKETS), "doc_id long, n long, a long, b long, slice int, counts binary"), "summary")
+    summary = stored(docs.mapInArrow(tidy(_summary(width, BUCKETS)), "doc_id long, n long, a long, b long, slice int, counts binary"), "summary")
     rows = summary.where("slice IS NULL").select("doc_id", "n", "a", "b")
     often = np.zeros(BUCKETS, np.uint32)
     total = summary.where("slice IS NOT NULL").select("slice", "counts").groupBy("slice").applyInArrow(_add, "slice int, counts binary")
@@ -242,7 +243,7 @@ def jaccard_components(docs: DataFrame, width: int = 3, percent: int = 90) -> Da
     counts = spark.sparkContext.broadcast(often)
 
     classes = stored(rows.where("n > 0").groupBy("a", "b").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n")).where("rep IS NOT NULL"), "classes")
-    prefixes = docs.mapInArrow(_prefixes(width, percent, counts), "a long, b long, prefix array<long>").groupBy("a", "b").agg(F.first("prefix").alias("prefix"))
+    prefixes = docs.mapInArrow(tidy(_prefixes(width, percent, counts)), "a long, b long, prefix array<long>").groupBy("a", "b").agg(F.first("prefix").alias("prefix"))
     prefixes = stored(classes.join(prefixes, ["a", "b"]).select("rep", "n", "prefix"), "prefixes")
 
     tokens = prefixes.select(F.posexplode("prefix").alias("at", "token"), "rep", "n")

@@ -19,11 +19,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from veilframe.llm.tokens import coder
-from veilframe.session import ship, stored
+from veilframe.llm.workers import tidy
+from veilframe.session import SMALL_BATCH, ship, stored
 
 SIZE = 4096
 #: Words of a generation that a worker remembers; two workers share an executor with a full heap.
-WORDS = 300_000
+WORDS = 100_000
 
 
 class Capacities:
@@ -149,10 +150,10 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, size: int = SIZE, with_id
     gathers at most ``size`` histogram rows; shuffled are a row per piece and per task and length.
     """
     spark = docs.sparkSession
-    ship(spark)
+    ship(spark, SMALL_BATCH)
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long, rank long, ids binary, part int"
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    pieces = stored(rows.mapInArrow(_pieces(tokenizer, end_id, size, with_ids), schema), "pieces")
+    pieces = stored(rows.mapInArrow(tidy(_pieces(tokenizer, end_id, size, with_ids)), schema), "pieces")
     counts = stored(pieces.groupBy("part", "length").count(), "lengths")
     table = plan({int(n): int(c) for n, c in counts.groupBy("length").agg(F.sum("count")).collect()}, size)
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)

@@ -10,14 +10,14 @@ text; texts with runs of blanks are cut more strictly, and texts that hold an ad
 
 from __future__ import annotations
 
-import ctypes
 import os
 import re
 import threading
 import time
 
 import numpy as np
-import pyarrow as pa
+
+from veilframe.llm.workers import release
 
 _CODERS: dict[tuple[str, bool, int], "Coder"] = {}
 #: Seconds after its last use that a worker process keeps a coder.
@@ -183,9 +183,7 @@ def _drop(key: tuple[str, bool, int], own: Coder) -> None:
     while (left := own.used + KEPT - time.monotonic()) > 0:
         time.sleep(left)
     del _CODERS[key], own
-    pa.default_memory_pool().release_unused()
-    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # else the C library keeps what was freed
-        trim(0)
+    release()
 
 
 def coder(path: str, leading_blank: bool, limit: int = 600_000) -> Coder:
