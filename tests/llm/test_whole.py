@@ -1,4 +1,5 @@
 import itertools
+import random
 import time
 import weakref
 import zlib
@@ -246,6 +247,47 @@ def test_tasks_beside_a_full_heap_give_memory_back(spark, monkeypatch):
     assert {*tidied} == {"passing", "_pieces", "_summary", "_prefixes", "_flagged"}
 
 
+def test_wavelet_runs_beside_a_full_heap(spark, monkeypatch):
+    tidied, size = [], "spark.sql.execution.arrow.maxBytesPerBatch"
+    monkeypatch.setattr(wavelet, "tidy", lambda run: tidied.append(run.__qualname__.partition(".")[0]) or run, raising=False)
+    spark.conf.set(size, str(8 << 20))
+    shards = wavelet.write_shards(spark.createDataFrame([(1, "a b"), (2, None)], "doc_id long, text string"), tokenizer_path("byte_bpe_50k.json"), 2)
+    assert wavelet.read_shards(shards).count() == 2
+    assert tidied == ["_writer", "_reader"] and int(spark.conf.get(size).rstrip("b")) <= 2 << 20
+
+
+def test_wavelet_remembers_few_words(monkeypatch):
+    class Task:
+        get = staticmethod(lambda: Task)
+        partitionId = staticmethod(lambda: 0)
+
+    monkeypatch.setattr(pyspark, "TaskContext", Task)
+    monkeypatch.setattr(wavelet.files, "put", lambda path, data: None)
+    assert getattr(wavelet, "WORDS", 600_000) <= 340_000
+    monkeypatch.setattr(wavelet, "WORDS", 1000)
+    path, word = tokenizer_path("byte_bpe_50k.json"), lambda k: "".join(chr(97 + k // 26**i % 26) for i in range(4))
+    texts = [" ".join(word(10 * i + k) for k in range(10)) for i in range(2000)]
+    batch = pa.record_batch({"doc_id": list(range(2000)), "text": texts})
+    (out,) = wavelet._writer(path, 2, "file:///none", 1 << 30)([batch])
+    (own,) = (c for k, c in tokens._CODERS.items() if k == (path, True, 1000))
+    assert len(own.young) + len(own.old) <= 2 * (1000 + 256 * 10) and len(own.bare) <= 1000
+    tok = Tokenizer.from_file(path)
+    assert out.column("tokens")[0].as_py() == sum(len(tok.encode(t, add_special_tokens=False).ids) + 1 for t in texts)
+
+
+def test_line_breaks_between_words_need_no_whole_chain(monkeypatch):
+    path, called = tokenizer_path("byte_bpe_50k.json"), []
+    code, tok = tokens.Coder(path, True, 50), Tokenizer.from_file(path)
+    texts = ["One, two.\nThree été!\nÉon.\nĠa four", "Only\nlines,\nhere", "Is it. so", ""]
+    whole = lambda t: np.array(tok.encode(t, add_special_tokens=False).ids, "<u4").tobytes()
+    for name in ("whole", "_run"):
+        monkeypatch.setattr(code, name, lambda t, own=getattr(code, name): called.append(t) or own(t))
+    assert code.encode(texts) == [whole(t) for t in texts] and not [t for t in called if t]
+    r, bits = random.Random(5), ["a", "Be", "é", "x,,", "\n", "\n", "\n\n", " ", " ", "'", "s", "1", "\t", "\r", "日", "ß\n", "Ġ", "ŉ", "\x85", "\u2028"]
+    odd = ["".join(r.choice(bits) for _ in range(r.randrange(9))) for _ in range(3000)]
+    assert [code.encode([t])[0] for t in odd] == [whole(t) for t in odd]
+
+
 @pytest.mark.parametrize("near", (0.05, 3.0))
 def test_few_radii_are_counted_and_end_as_step_by_step(monkeypatch, near):
     rng = np.random.default_rng(4)

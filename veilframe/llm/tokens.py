@@ -3,7 +3,8 @@
 Both tokenizer kinds cut a text before every blank that precedes a visible character, so a
 text is the concatenation of independent chunks; each distinct chunk goes through the
 ``tokenizers`` library and is then reused.  A chunk of Latin letters and marks after them is
-two pre-tokens, so it goes straight to the library's model; any other chunk through its whole chain.  Ids are identical to encoding the whole
+two pre-tokens, so it goes straight to the library's model, and at byte level so do such words with one line break
+between them; any other chunk goes through the whole chain.  Ids are identical to encoding the whole
 text; texts with runs of blanks are cut more strictly, and texts that hold an added token
 (``<|endoftext|>``) literally are encoded whole.
 """
@@ -68,7 +69,9 @@ class Coder:
         size = self.tok.get_vocab_size()
         self.raw = [i.to_bytes(4, "little") for i in range(size)]
         self.tails: dict[str, bytes] = {}
+        self.bare: dict[str, bytes] = {}
         if leading_blank:
+            self.line = self._model(_MARKS[ord("\n")])
             self.opens = np.zeros(size, bool)
             for token, i in self.tok.get_vocab().items():
                 self.opens[i] = token.startswith("Ġ")
@@ -80,13 +83,22 @@ class Coder:
         raw = self.raw
         return b"".join([raw[t.id] for t in self.model.tokenize(pretoken)])
 
-    def _word(self, letters: str) -> bytes:
-        """Ids of a word of plain Latin letters."""
+    def _word(self, letters: str, opened: bool = True) -> bytes:
+        """Ids of a word of plain Latin letters; ``opened``: behind a blank."""
         if not self.blank:
             letters = letters.lower()
         if not letters.isascii():
             letters = letters.encode().decode("latin-1").translate(_MARKS)
-        return self._model("Ġ" + letters if self.blank else letters)
+        return self._model("Ġ" + letters if self.blank and opened else letters)
+
+    def _tail(self, marks: str) -> bytes:
+        """Ids of the marks behind a word."""
+        tail = self.tails.get(marks)
+        if tail is None:
+            if len(self.tails) >= self.limit:
+                self.tails = {}
+            self.tails[marks] = tail = self._model(marks)
+        return tail
 
     def _plain(self, word: str, end: int) -> bytes:
         """Ids of a word of letters up to ``end`` and marks; both are remembered apart as well."""
@@ -96,12 +108,48 @@ class Coder:
         own = self.young.get(letters) or self.old.get(letters)
         if own is None:
             self.young[letters] = own = self._word(letters)
-        tail = self.tails.get(marks)
-        if tail is None:
-            if len(self.tails) >= self.limit:
-                self.tails = {}
-            self.tails[marks] = tail = self._model(marks)
-        return own + tail
+        return own + self._tail(marks)
+
+    def _opening(self, word: str) -> bytes | None:
+        """Ids of a byte-level word of letters and marks that begins a text or a line; None for any other word."""
+        ids = self.bare.get(word)
+        if ids is None:
+            plain = _PLAIN(word)
+            if plain is None:
+                return None
+            end = plain.end(1)
+            ids = self._word(word[:end], False)
+            if end < len(word):
+                ids += self._tail(word[end:])
+            if len(self.bare) >= self.limit:
+                self.bare = {}
+            self.bare[word] = ids
+        return ids
+
+    def _openings(self, words: list[str]) -> bytes | None:
+        """Ids of such words with one line break between them; None if one is another word."""
+        out = [self._opening(w) for w in words]
+        return None if None in out else self.line.join(out)
+
+    def _lines(self, word: str) -> bytes | None:
+        """Ids of words of letters and marks with one line break between them, the first behind a blank; None for any other chunk.
+
+        They are hardly ever met again as a whole, so only the words in them are remembered.
+        """
+        first, *rest = word.split("\n")
+        ids = self.young.get(first) or self.old.get(first)
+        if ids is None:
+            plain = _PLAIN(first)
+            if plain is None:
+                return None
+            self.young[first] = ids = self._plain(first, plain.end(1))
+        later = self._openings(rest)
+        return None if later is None else ids + self.line + later
+
+    def _first(self, word: str) -> bytes:
+        """Ids of what a byte-level text begins with."""
+        ids = self._openings(word.split("\n"))
+        return self.whole(word) if ids is None else ids
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
@@ -145,7 +193,7 @@ class Coder:
                 if parts is None:  # a run of blanks, or white space after a blank
                     first, *words = _CUT.split(t)
                     parts = self._parts([w[1:] for w in words], hard, False)
-                out.append((self.whole(first), parts))
+                out.append((self._first(first), parts))
         fresh = list({w for _, _, w in hard})
         learned: dict[str, bytes] = {}
         if fresh:
@@ -160,7 +208,7 @@ class Coder:
 
         ``strict``: None if a blank between the words does not open one.
         """
-        young, old = self.young, self.old
+        young, old, blank, raw, model = self.young, self.old, self.blank, self.raw, self.model.tokenize
         parts = list(map(young.get, words))
         left = []
         for i in [i for i, p in enumerate(parts) if p is None]:
@@ -169,11 +217,18 @@ class Coder:
             if ids is None:
                 plain = _PLAIN(w)
                 if plain is None:
+                    if blank and "\n" in w and (ids := self._lines(w)) is not None:
+                        parts[i] = ids
+                        continue
                     if strict and (not w or w[0].isspace()):
                         return None
                     left.append((parts, i, w))
                     continue
-                ids = self._plain(w, plain.end(1))
+                end = plain.end(1)
+                if blank and end == len(w) and w.isascii():  # most words: without the calls
+                    ids = b"".join([raw[t.id] for t in model("Ġ" + w)])
+                else:
+                    ids = self._plain(w, end)
             parts[i] = young[w] = ids
         hard += left
         return parts

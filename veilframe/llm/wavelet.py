@@ -24,13 +24,16 @@ from pyspark.sql import functions as F
 
 from veilframe.llm import files
 from veilframe.llm.tokens import coder
-from veilframe.session import fresh_path, ship, stored
+from veilframe.llm.workers import tidy
+from veilframe.session import SMALL_BATCH, fresh_path, ship, stored
 
 MAGIC = b"WVMX0002"
 #: Bits of a block.
 BLOCK = 1 << 16
 #: Tokens after which a shard file is closed at the end of a document.
 SHARD_TOKENS = 1 << 19
+#: Words of a generation that a worker remembers; two workers share an executor with a full heap.
+WORDS = 340_000
 
 
 def build(ids: np.ndarray, doc_ids: list[int | None], counts: list[int], start: int) -> bytes:
@@ -182,7 +185,7 @@ def _writer(tokenizer: str, end_id: int, folder: str, most: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        pid, code, end = TaskContext.get().partitionId(), coder(tokenizer, True), np.array([end_id], "<u4").tobytes()
+        pid, code, end = TaskContext.get().partitionId(), coder(tokenizer, True, WORDS), np.array([end_id], "<u4").tobytes()
         ids, docs, counts, held, start, shard = [], [], [], 0, 0, 0
 
         def flush() -> pa.RecordBatch:
@@ -216,12 +219,12 @@ def write_shards(docs: DataFrame, tokenizer: str, end_id: int, shard_tokens: int
     One shuffle, by range of (doc_id, text hash), so equal ids can't crowd one task.
     """
     spark = docs.sparkSession
-    ship(spark)
+    ship(spark, SMALL_BATCH)
     folder = folder or fresh_path(spark, "wavelet")
     tie = F.xxhash64("text")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = rows.repartitionByRange("doc_id", tie).sortWithinPartitions("doc_id", tie, "text")
-    return stored(rows.mapInArrow(_writer(tokenizer, end_id, folder, shard_tokens), "part int, file string, tokens long"), "wavelet-files")
+    return stored(rows.mapInArrow(tidy(_writer(tokenizer, end_id, folder, shard_tokens)), "part int, file string, tokens long"), "wavelet-files")
 
 
 def _reader(bases: dict[int, int]):
@@ -252,4 +255,4 @@ def read_shards(shards: DataFrame) -> DataFrame:
     for part, t in totals:
         bases[part], base = base, base + t
     spread = shards.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
-    return spread.mapInArrow(_reader(bases), "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return spread.mapInArrow(tidy(_reader(bases)), "doc_id long, start long, n_tokens long, ids_crc32 long")
