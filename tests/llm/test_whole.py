@@ -275,6 +275,14 @@ def test_wavelet_remembers_few_words(monkeypatch):
     assert out.column("tokens")[0].as_py() == sum(len(tok.encode(t, add_special_tokens=False).ids) + 1 for t in texts)
 
 
+def test_reading_shards_back_drops_the_coder():
+    path = tokenizer_path("byte_bpe_50k.json")
+    gone = weakref.ref(tokens.coder(path, True, 7))
+    assert gone() is not None and list(wavelet._reader({})(iter([]))) == []
+    assert gone() is None and not tokens._CODERS
+    assert tokens.coder(path, True, 7).encode(["a b"]) == [tokens.Coder(path, True).whole("a b")]
+
+
 def test_line_breaks_between_words_need_no_whole_chain(monkeypatch):
     path, called = tokenizer_path("byte_bpe_50k.json"), []
     code, tok = tokens.Coder(path, True, 50), Tokenizer.from_file(path)

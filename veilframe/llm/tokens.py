@@ -15,6 +15,7 @@ import os
 import re
 import threading
 import time
+import weakref
 
 import numpy as np
 
@@ -234,13 +235,27 @@ class Coder:
         return parts
 
 
-def _drop(key: tuple[str, bool, int], own: Coder) -> None:
-    while (left := own.used + KEPT - time.monotonic()) > 0:
+def _drop(key: tuple[str, bool, int], seen: weakref.ref[Coder]) -> None:
+    left = KEPT
+    while left > 0:
         time.sleep(left)
-    del _CODERS[key], own
+        own = seen()
+        if own is None:
+            return
+        left = own.used + KEPT - time.monotonic()
+        if left <= 0 and _CODERS.get(key) is own:
+            del _CODERS[key]
+        del own
     release()
 
 
+def forget() -> None:
+    """Drops the coders of this worker at once, for a task that needs none."""
+    if _CODERS:
+        _CODERS.clear()
+        release()
+
+
 def coder(path: str, leading_blank: bool, limit: int = 600_000) -> Coder:
     """One coder per worker process, file and limit.
 
@@ -251,6 +266,6 @@ def coder(path: str, leading_blank: bool, limit: int = 600_000) -> Coder:
     own = _CODERS.get(key)
     if own is None:
         own = _CODERS[key] = Coder(path, leading_blank, limit)
-        threading.Thread(target=_drop, args=(key, own), daemon=True).start()
+        threading.Thread(target=_drop, args=(key, weakref.ref(own)), daemon=True).start()
     own.used = time.monotonic()
     return own

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veilframe.llm import files
-from veilframe.llm.tokens import coder
+from veilframe.llm.tokens import coder, forget
 from veilframe.llm.workers import tidy
 from veilframe.session import SMALL_BATCH, fresh_path, ship, stored
 
@@ -229,6 +229,7 @@ def write_shards(docs: DataFrame, tokenizer: str, end_id: int, shard_tokens: int
 
 def _reader(bases: dict[int, int]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()  # the worker has just encoded
         for batch in batches:
             for part, path in zip(batch.column("part").to_pylist(), batch.column("file").to_pylist()):
                 shard = Shard(files.get(path))
