@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
-from veilframe.session import ship
+from veilframe.session import SMALL_BATCH, by_batch, ship
 
 SPAN = "struct<start:int,end:int,kind:string,text:string,source:string,priority:int,approved:boolean,case_sensitive:boolean,reason:string>"
 NONE = f"cast(array() as array<{SPAN}>)"
@@ -31,6 +31,11 @@ def span(start: Column, value: Column, kind: Column | str, source: str, priority
 _LOOK_BEHIND = re.compile(r"(\(\?<[!=][^()]*\))?")
 
 
+def occurrence(prefix: str, value: str, follows: str = "", consumed: str = "") -> str:
+    """The pattern of ``value`` after ``prefix``."""
+    return f"({prefix})(?=({value}){follows}){consumed}" if consumed else f"({prefix})({value}){follows}"
+
+
 def matches(text: Column, prefix: str, value: str, follows: str = "", consumed: str = "") -> Column:
     """``array<struct<start, text>>`` of ``value`` after ``prefix``; matches are never empty.
 
@@ -38,7 +43,7 @@ def matches(text: Column, prefix: str, value: str, follows: str = "", consumed:
     it.  Each pass over the text is an argument of its own, outside any lambda, so it is made
     once however many matches there are.
     """
-    pattern = F.lit(f"({prefix})(?=({value}){follows}){consumed}" if consumed else f"({prefix})({value}){follows}")
+    pattern = F.lit(occurrence(prefix, value, follows, consumed))
     bare = bool(_LOOK_BEHIND.fullmatch(prefix))  # nothing lies between the gap and the value
     whole = F.regexp_extract_all(text, pattern, F.lit(0))
     item = whole if bare and not consumed else F.regexp_extract_all(text, pattern, F.lit(2))
@@ -73,9 +78,13 @@ def _splice(texts: pd.Series, edits: pd.Series) -> pd.Series:
 
 
 def splice(text: Column, edits: Column) -> Column:
-    """``text`` with each of ``edits`` (start, end, text) put in place, in one pass; overlapping edits fail the query."""
-    ship(SparkSession.active())
-    return F.pandas_udf(_splice, "string")(text, edits)
+    """``text`` with each of ``edits`` (start, end, text) put in place, in one pass; overlapping edits fail the query.
+
+    Only texts with edits travel to a worker.
+    """
+    ship(SparkSession.active(), SMALL_BATCH)
+    some = F.size(edits) > 0
+    return F.when(some, by_batch(_splice, "string")(F.when(some, text), F.when(some, edits))).otherwise(text)
 
 
 #: Accented letters of Latin scripts with one base letter, by Unicode's own decompositions.
@@ -90,9 +99,5 @@ def fold(text: Column) -> Column:
 def without(spans: Column, others: Column) -> Column:
     """``spans`` but for those whose place one of ``others`` has; places are listed once."""
     key = lambda s: F.concat_ws(":", s["start"], s["end"])
-    begin = F.struct(F.transform(others, key).alias("places"), F.expr(NONE).alias("out"))
-    return F.aggregate(
-        spans, begin,
-        lambda acc, s: F.struct(acc["places"].alias("places"), F.when(F.array_contains(acc["places"], key(s)), acc["out"]).otherwise(F.array_append(acc["out"], s)).alias("out")),
-        lambda acc: acc["out"],
-    )
+    listed = F.array(F.struct(F.transform(others, key).alias("places")))
+    return F.get(F.transform(listed, lambda o: F.filter(spans, lambda s: ~F.array_contains(o["places"], key(s)))), F.lit(0))

@@ -2,18 +2,10 @@
 
 from __future__ import annotations
 
-import ctypes
 import functools
 from collections.abc import Callable, Iterator
 
-import pyarrow as pa
-
-
-def release() -> None:
-    """Gives freed memory back to the system; Arrow and the C library keep it for the process otherwise."""
-    pa.default_memory_pool().release_unused()
-    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
-        trim(0)
+from veilframe.session import release
 
 
 def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
