@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from veilframe.functions.spans import fold, matches, splice
 from veilframe.functions.words import TITLES
 from veilframe.operators.rules import KINDS, RULES, Rule, detect
-from veilframe.session import ship, stored
+from veilframe.session import SMALL_BATCH, ship, spread, stored
 
 MAPPING = "kind string, number bigint, value string, case_sensitive boolean"
 
@@ -21,8 +21,8 @@ ROW = "_veilframe_row"
 
 def rows_of(docs: DataFrame) -> DataFrame:
     """``docs`` with ``ROW``, written out, so that a row keeps its number however often it is read."""
-    ship(docs.sparkSession)
-    return docs if ROW in docs.columns else stored(docs.withColumn(ROW, F.monotonically_increasing_id()), "rows")
+    ship(docs.sparkSession, SMALL_BATCH)
+    return docs if ROW in docs.columns else stored(spread(docs).withColumn(ROW, F.monotonically_increasing_id()), "rows")
 
 
 def find(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text") -> DataFrame:
@@ -30,9 +30,12 @@ def find(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text") -
 
 
 def spans_of(found: DataFrame, *keys: str) -> DataFrame:
-    """One row per approved span."""
+    """One row per approved span.
+
+    A plain ``explode`` would have the optimizer look for empty arrays first, which finds all spans twice more.
+    """
     keys = keys or ("doc_id",)
-    return found.select(*keys, F.explode("spans").alias("s")).select(*keys, "s.*").where("approved")
+    return found.select(*keys, F.explode_outer("spans").alias("s")).select(*keys, "s.*").where("approved")
 
 
 def drop_allowed(spans: DataFrame, allowlist: DataFrame) -> DataFrame:
@@ -106,7 +109,7 @@ def references(text: Column) -> Column:
 def restore(docs: DataFrame, mapping: DataFrame, key: str = "doc_id", text: str = "masked") -> DataFrame:
     """``key, restored, found, altered, invented``: placeholders put back by (kind, number)."""
     rows = rows_of(docs.select(*([ROW] if ROW in docs.columns else []), key, text))
-    refs = rows.select(ROW, F.explode(references(F.col(text))).alias("r")).select(ROW, "r.*")
+    refs = rows.select(ROW, F.explode_outer(references(F.col(text))).alias("r")).where("r is not null").select(ROW, "r.*")
     known = refs.join(mapping.select("kind", "number", "value"), ["kind", "number"], "left")
     hit = F.col("value").isNotNull()
     canonical = placeholder(F.col("kind"), F.col("number"))

@@ -11,14 +11,14 @@ from veilframe.functions import checksums, spans
 from veilframe import api
 from veilframe.operators import lookup, masking, names, resolve
 from veilframe.operators.rules import BY_SOURCE, RULES, detect
-from veilframe.session import table
+from veilframe.session import spread, table
 
 CONTACTS = (BY_SOURCE["email"], BY_SOURCE["phone-intl"])
 EMAIL = (BY_SOURCE["email"],)
 
 
 def _values(spark: SparkSession, sf_dir: str, rules, tab: str = "documents", key: str = "doc_id", text: str = "text") -> DataFrame:
-    return masking.spans_of(masking.find(table(spark, sf_dir, tab).select(key, text), rules, text), key)
+    return masking.spans_of(masking.find(spread(table(spark, sf_dir, tab).select(key, text)), rules, text), key)
 
 
 def emails_in_documents(spark, sf_dir):
@@ -50,7 +50,9 @@ def placeholder_counts(spark, sf_dir):
 
 def _masked(spark, sf_dir, rules):
     docs = masking.rows_of(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    found = docs.withColumn("spans", resolve.resolve(F.col("text"), detect(F.col("text"), rules)) if len(rules) > 1 else detect(F.col("text"), rules))
+    found = docs.withColumn("spans", detect(F.col("text"), rules))
+    if len(rules) > 1:
+        found = found.withColumn("spans", resolve.resolve(F.col("text"), F.col("spans")))
     found = masking.stored(found, "found")
     mapping = masking.stored(masking.number(masking.spans_of(found)), "mapping")
     return docs, mapping, masking.apply(found, mapping)

@@ -15,7 +15,7 @@ from veilframe.session import stored
 
 def detect_stream(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text") -> DataFrame:
     """A stream with the disjoint ``spans`` of its texts; no state."""
-    return docs.withColumn("spans", resolve(F.col(text), trimmed(detect(F.col(text), rules))))
+    return docs.withColumn("spans", trimmed(detect(F.col(text), rules))).withColumn("spans", resolve(F.col(text), F.col("spans")))
 
 
 def mask_stream(docs: DataFrame, mapping_path: str, out_path: str, rules: tuple[Rule, ...] = RULES, key: str = "doc_id", text: str = "text") -> DataStreamWriter:
