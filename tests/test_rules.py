@@ -4,9 +4,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from veilframe.functions import checksums
-from veilframe.functions.spans import splice
-from veilframe.operators.resolve import merge_people, resolve_spans
-from veilframe.operators.rules import BY_SOURCE, detect
+from veilframe.functions.spans import NONE, span, splice, without
+from veilframe.operators import masking
+from veilframe.operators.resolve import merge_people, resolve, resolve_spans
+from veilframe.operators.rules import BY_SOURCE, ODD, detect
 
 CASES = [
     ("email", "scrivi a zeno.prova@posta.example.it, grazie", ["zeno.prova@posta.example.it"]),
@@ -106,3 +107,41 @@ def test_remainder_and_merge():
 def test_splice_counts_code_points(spark):
     edits = F.array(F.struct(F.lit(2).alias("start"), F.lit(3).alias("end"), F.lit("[A_1]").alias("text")))
     assert spark.range(1).select(splice(F.lit("😀 x y"), edits)).first()[0] == "😀 [A_1] y"
+
+
+def test_letters_that_any_case_takes_for_ascii(spark):
+    letters = spark.createDataFrame([(chr(i),) for i in range(0x80, 0x20000) if not 0xD800 <= i < 0xE000], "c string")
+    assert {r.c for r in letters.where(F.col("c").rlike("(?iu)[a-z]")).collect()} == set(ODD)
+    texts = [("la \u017fig. Ugo Prova", "title-name"), ("TARGA AB 123 CD", "plate"), ("Referente: Ugo Prova", "labeled-name"), ("cod\u0130ce fiscale ABCDEFGHIJKLMNOP", "cf-labeled"), ("V\u0131a Garibaldi 1", "address")]
+    for text, source in texts:
+        got = spark.createDataFrame([(text,)], "text string").select(BY_SOURCE[source].spans(F.col("text")).alias("s")).first()["s"]
+        assert len(got) == 1, (text, source)
+
+
+def test_spans_are_found_once(spark):
+    docs = spark.createDataFrame([(1, "a@b.it"), (2, None), (3, "")], "doc_id int, text string")
+    rows = masking.spans_of(masking.find(docs))
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("[A-Za-z0-9._%+\\-]+@") == masking.find(docs)._jdf.queryExecution().optimizedPlan().toString().count("[A-Za-z0-9._%+\\-]+@")
+    assert [r.text for r in rows.collect()] == ["a@b.it"]
+
+
+def test_only_texts_with_work_reach_a_worker(spark):
+    one, two = span(F.lit(0), F.lit("Ugo"), "PERSON", "x", 50), span(F.lit(4), F.lit("Prova"), "PERSON", "x", 50)
+    rows = spark.sql("SELECT * FROM VALUES (1, 'Ugo Prova'), (2, 'Ugo Prova'), (3, 'Ugo Prova'), (4, null), (5, 'Ugo Prova') AS t(i, text)")
+    rows = rows.withColumn("spans", F.when(F.col("i") == 1, F.array(one, two)).when(F.col("i") == 2, F.array(one)).when(F.col("i") == 3, F.expr(NONE)).when(F.col("i") == 4, F.array(one, two)))
+    done = rows.select("i", "text", resolve(F.col("text"), F.col("spans")).alias("s"))
+    assert {r.i: [x["text"] for x in r.s] for r in done.collect()} == {1: ["Ugo Prova"], 2: ["Ugo"], 3: [], 4: [], 5: []}
+    edits = rows.select("i", splice(F.col("text"), F.transform("spans", lambda s: F.struct(s["start"], s["end"], F.lit("_").alias("text")))).alias("t"))
+    assert {r.i: r.t for r in edits.collect()} == {1: "_ _", 2: "_ Prova", 3: "Ugo Prova", 4: None, 5: "Ugo Prova"}
+    for plan in (done, edits):
+        text = plan._jdf.queryExecution().optimizedPlan().toString()
+        assert "CASE WHEN (size(" in text
+
+
+def test_without_takes_many_spans_in_one_pass(spark):
+    many = spark.range(1).select(F.transform(F.sequence(F.lit(0), F.lit(19999)), lambda i: span(i, F.lit("x"), "PERSON", "x", 50)).alias("m"))
+    few = F.filter("m", lambda s: s["start"] % 5000 == 0)
+    got = many.select("m", few.alias("f")).select(without(F.col("m"), F.col("f")).alias("w"))
+    assert "array_append" not in got._jdf.queryExecution().optimizedPlan().toString()
+    assert got.select(F.size("w")).first()[0] == 19996
