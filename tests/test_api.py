@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from veilframe import api
-from veilframe.functions.folding import Searched, folded, key_of_value, keys_of_text
+from veilframe.functions.folding import Searched, folded, key_of_value, keys_of_text, pattern_of
 from veilframe.operators import lookup
 from veilframe.operators.names import NameReader, name_spans, trimmed
 from veilframe.operators.rules import BY_SOURCE
@@ -156,3 +156,9 @@ def test_texts_list_only_keys_that_values_may_have(spark):
     assert listed.where("count > 1500").count() < 4 and lookup.Passing.of(keys.where("false"))(["nome"]).tolist() == [False]
     got = lookup.occurrences(rows, needles, "k").select("k", F.explode("found").alias("s")).select("k", "s.start", "s.text").collect()
     assert sorted(map(tuple, got)) == [(i, 8, f"Nome#{i:06d}") for i in range(3000)]
+
+
+def test_patterns_of_many_values_are_made_once():
+    values = [f"nome{i} prova" for i in range(2000)]
+    first = [pattern_of(v, False) for v in values]
+    assert all(a is pattern_of(v, False) for a, v in zip(first, values))
